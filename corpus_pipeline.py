@@ -9,7 +9,7 @@ from tidemark.llm import langid, packing, pii, simhash
 from tidemark.llm.common import new_folder
 
 #: A document whose language has a lower probability than this is rejected, as are those without letters.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, partitions
+from tidemark.llm.common import cut, partitions, shared
 from tidemark.llm.vectors import sample, spherical_kmeans, unit, usable
 
 TOP = 20
@@ -108,7 +108,9 @@ def _matrix(values: pa.Array) -> np.ndarray:
 
 
 def _search(top: int):
-    """Rows of one list: queries first, then its vectors. Best so far are held per query over all lists of the task."""
+    """Rows of one list: queries first, then its vectors. Best so far are held per query over all lists of the task:
+    one more than asked for, as the query itself may be among them."""
+    keep = top + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -147,10 +149,10 @@ def _search(top: int):
                 for k in range(0, len(asked), BLOCK):
                     scores = matrix[k : k + BLOCK] @ v.T
                     # the products only choose; a margin keeps what rounding could move across the line
-                    line = np.partition(scores, -top, axis=1)[:, -top] if scores.shape[1] > top else np.full(len(scores), -np.inf)
+                    line = np.partition(scores, -keep, axis=1)[:, -keep] if scores.shape[1] > keep else np.full(len(scores), -np.inf)
                     for i, q in enumerate(asked[k : k + BLOCK]):
                         old = best.get(q)
-                        least = line[i] if old is None or len(old[0]) < top else max(line[i], old[0][-1])
+                        least = line[i] if old is None or len(old[0]) < keep else max(line[i], old[0][-1])
                         chosen = np.flatnonzero(scores[i] >= least - 1e-9 * max(1.0, abs(least))) if np.isfinite(least) else np.arange(len(v))
                         if not len(chosen):
                             continue
@@ -158,7 +160,7 @@ def _search(top: int):
                         s, n = (exact, ids[chosen]) if old is None else (np.concatenate([old[0], exact]), np.concatenate([old[1], ids[chosen]]))
                         n, first = np.unique(n, return_index=True)  # a boundary vector may come by twice
                         s = s[first]
-                        order = np.lexsort((n, -s))[: top + 1]
+                        order = np.lexsort((n, -s))[:keep]
                         best[q] = (s[order], n[order])
         yield from flush()
 
@@ -191,17 +193,17 @@ def nearest(rows: DataFrame, top: int = TOP, every: int = 20, ratio: float = RAT
         return np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]], axis=1) / np.sqrt(most)
 
     centres = spherical_kmeans(lifted(sample(nodes, SAMPLE)), min(LISTS, -(-total // LIST)), balance=0.02)
-    shared = spark.sparkContext.broadcast(CentroidGraph(centres))
+    index = shared(spark, CentroidGraph(centres))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
+        graph = index()
         for batch in batches:
             if batch.num_rows:
                 own = posted(graph.centres, lifted(_matrix(batch.column("embedding"))))
                 yield _dealt(batch, own, False)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
+        graph = index()
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column("embedding"))

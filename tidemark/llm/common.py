@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
@@ -68,6 +69,13 @@ def worker_state(key: str, make: Callable):
     return home.__dict__[key]
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcast value, whose classes travel by value too; the result gives it back, once per worker process."""
+    key = f"shared-{uuid.uuid4().hex}"
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: worker_state(key, lambda: pickle.loads(sent.value))
+
+
 def map_columns(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """mapInArrow over some columns only. make() runs once a task; what it gives turns a batch's columns into
     a dict of lists or arrays in the order of schema."""

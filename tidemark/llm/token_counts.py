@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.common import as_bytes, map_columns, worker_state
+from tidemark.llm.common import as_bytes, map_columns, shared, worker_state
 
 
 def frequent(codec: bpe.Codec) -> tuple[bytes, bytes]:
@@ -61,11 +61,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     ignored; repeated rows and null keys stay; an empty table gives no rows.
     """
     codec = bpe.load(path)
-    table = docs.sparkSession.sparkContext.broadcast((codec, frequent(codec)))
+    table = shared(docs.sparkSession, (codec, frequent(codec)))
+    key_of_file = codec.key
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        counter = worker_state(f"counts-{table.value[0].key}", lambda: Counter(*table.value))
+        counter = worker_state(f"counts-{key_of_file}", lambda: Counter(*table()))
 
         def work(keys: pa.Array, texts: pa.Array) -> dict:
             return {key: keys, "n_bytes": [len(x) for x in as_bytes(texts)], "n_tokens": [counter.count(x or "") for x in texts.to_pylist()]}
