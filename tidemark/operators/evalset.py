@@ -95,6 +95,9 @@ def draw_negatives(needs: DataFrame, events: DataFrame, clip_s: float, margin_s:
         m, k, t = zip(*out, strict=True) if out else ([], [], [])
         return pa.table({"master": pa.array(m, pa.string()), "k": pa.array(k, pa.int32()), "t0": pa.array(t, pa.float64())})
 
+    # both sides may come from one table: fresh columns keep their keys apart
+    needs = needs.select(F.col("master").alias("master"), F.col("total_s").alias("total_s"), F.col("n").alias("n"))
+    merged = merged.select(*(F.col(c).alias(c) for c in ("master", "onset_s", "offset_s")))
     return needs.groupBy("master").cogroup(merged.groupBy("master")).applyInArrow(draw, "master string, k int, t0 double")
 
 

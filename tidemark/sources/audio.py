@@ -5,6 +5,7 @@ hours is never a single binary row."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -77,8 +78,15 @@ def samples(raw: bytes, h: dict) -> np.ndarray:
     return x.reshape(-1, h["channels"]).mean(1, dtype=np.float32)
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it; local paths may hold blanks, which no URI may."""
+    if "://" not in path or path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:(?://)?", "", path)
+    return fs.FileSystem.from_uri(path)
+
+
 def _open(path: str):
-    store, own = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    store, own = _located(path)
     return store.open_input_file(own)
 
 
@@ -161,7 +169,7 @@ def write_clips(rows: DataFrame, folder: str) -> DataFrame:
     """rows (clip_id, sr, samples) -> <folder>/<clip_id>.wav; (clip_id, path, status) of each."""
 
     def work(clip_id, sr, x):
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, path = _located(folder)
         store.create_dir(path, recursive=True)
         with store.open_output_stream(f"{path}/{clip_id}.wav.tmp") as f:
             f.write(wav_bytes(np.array(x, np.float32), sr))
