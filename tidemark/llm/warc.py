@@ -111,7 +111,7 @@ def _write(folder: str):
                     name = f"shard-{shard:06d}-{number:04d}.warc.gz"
                     number += 1
                     made.append([f"_temporary/{attempt}-{name}", name, shard, 0, 0])
-                    out = store.open_output_stream(f"{path}/{made[-1][0]}")
+                    out = store.open_output_stream(f"{path}/{made[-1][0]}", compression=None)  # members are gzip already
                 out.write(data)
                 made[-1][3] += 1
                 made[-1][4] += len(data)
@@ -184,7 +184,7 @@ def read(spark, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 held, rows = 0, []
-                with store.open_input_stream(f"{path}/{name}") as stream:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for fields, block in records(stream):
                         head, _, payload = block.partition(b"\r\n\r\n")
                         full = int(head.rpartition(b"Content-Length: ")[2])
