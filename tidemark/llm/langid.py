@@ -124,8 +124,13 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     if not df[FEATURES]:
         return None
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
+    # Only the rows of the least hashes, some four times the sample, go on to be ranked: no language's rows meet in one
+    # task. There are as many counts as languages, which the model holds anyway.
+    rows = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, 4 * SAMPLE / n))))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang")) * (1 << 30)
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = known.select("doc_id", "lang").where(low).withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE).select("doc_id").distinct()
 
     def learn(sample: pa.Table) -> pa.Table:
         texts, langs = sample.column("text").to_pylist(), sample.column("lang").to_pylist()
