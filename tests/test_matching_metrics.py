@@ -65,7 +65,9 @@ def test_coverage_guards(spark):
     assert blanket.auc_recall_sel < sharp.auc_recall_sel and blanket.op_threshold == float("inf")
 
 
-def test_selection_is_the_plain_one(spark, events):
+@pytest.mark.parametrize("one_task", [100_000, 3])
+def test_selection_is_the_plain_one(spark, events, one_task, monkeypatch):
+    monkeypatch.setattr(metrics, "ONE_TASK", one_task)
     preds, gts = events
     rows = [(f"f{k}", 70.0) for k in range(4)] + [("silent", 30.0)]
     flags = flagged(frame(spark, preds), frame(spark, gts), IoUMatcher(0.2))

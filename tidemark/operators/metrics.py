@@ -15,13 +15,19 @@ from tidemark.functions.intervals import prf, ratio
 from tidemark.operators.matching import flagged
 
 BANDS = 64
+ONE_TASK = 100_000
 
 
 def running(rows: DataFrame, by: str, sums: list[str]) -> DataFrame:
-    """rows (one per value of `by`) with cum_<name>: sums over rows of the same or a greater `by`."""
-    spark = rows.sparkSession
-    limits = rows.agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 1000).alias("q")).first().q or []
-    limits = sorted(set(limits), reverse=True)
+    """rows (one per value of `by`) with cum_<name>: sums over rows of the same or a greater `by`.
+
+    Up to ONE_TASK rows are summed in one window; more are dealt to bands first, with the same result."""
+    rows = rows.persist()  # read for the limits and again for the sums
+    said = rows.agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 1000).alias("q"), F.count("*").alias("n")).first()
+    if said.n <= ONE_TASK:
+        order = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(F.sum(s).over(order).alias(f"cum_{s}") for s in sums))
+    limits = sorted(set(said.q or []), reverse=True)
     band = F.size(F.filter(F.lit(limits).cast("array<double>"), lambda x: x > F.col(by))) if limits else F.lit(0)
     rows = rows.withColumn("_band", band)
     totals = rows.groupBy("_band").agg(*(F.sum(s).alias(s) for s in sums))
