@@ -187,3 +187,12 @@ def test_build_clips_and_align(spark, folder):
     cli.main(["consensus", "--raw", str(folder / "raw"), "--out", str(folder / "cons")])
     got = {r.cut_file: r.status for r in spark.read.option("sep", "\t").option("header", True).csv(str(folder / "cons")).collect()}
     assert got["61025A1.wav"] == "ok_single"
+    cli.main(["align", "--data-root", str(folder), "--out", str(folder / "raw")])  # nothing is pending any more
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(folder / "raw")).count() == len(rows)
+    ok = [("sp", "61025A1.wav", "61025", 1.0, "61025ch1.wav", 2.5, 3.5, 0.9, 3.0, "ok")]
+    names = ("species", "cut_file", "tape_id", "cut_dur_s", "master_file", "offset_s", "end_s", "ncc_peak", "peak_ratio", "status")
+    tables.write_table(spark.createDataFrame(ok, list(names)), str(folder / "confident"))
+    cli.main(["build-tapes", "--confident", str(folder / "confident"), "--raw", str(folder / "confident"), "--root", str(folder), "--out", str(folder / "tapes"), "--clip-s", "5", "--target-sr", "8000"])
+    meta = {r.label: r for r in spark.read.option("header", True).csv(str(folder / "tapes" / "metadata.csv")).collect()}
+    assert set(meta) == {"event", "none"} and float(meta["event"].rel_off) - float(meta["event"].rel_on) == pytest.approx(1.0)
+    assert len(audio.read(meta["none"].path)[0]) == 40000

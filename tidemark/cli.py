@@ -1,4 +1,4 @@
-"""Command line: benchmark, score, select, align, consensus, build-clips."""
+"""Command line: benchmark, score, select, align, consensus, build-clips, build-tapes."""
 
 from __future__ import annotations
 
@@ -68,6 +68,10 @@ def align(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     for name in ("species", "tape"):
         if getattr(a, name):
             cuts = cuts.where(F.col({"species": "species", "tape": "tape_id"}[name]) == getattr(a, name))
+    again = not a.no_resume and tables.exists(spark, a.out)
+    if again:
+        done = tables.alignments(spark, a.out).select("species", F.col("cut_file").alias("file"))
+        cuts = provenance.pending(cuts, done, ("species", "file"))
     if a.limit:
         cuts = cuts.limit(a.limit)
     loaded = audio.decode(cuts.select(F.col("path").alias("file_id"), "path")).select(F.col("file_id").alias("path"), F.col("sr").alias("cut_sr"), F.col("samples").alias("cut"))
@@ -77,8 +81,8 @@ def align(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     out = alignment.align(pairs, full, a.corr_rate, a.mode, a.env_rate)
     lost = provenance.orphans(cuts.select("species", "tape_id", "cut_base", "cut_file", "cut_sr"), masters.select("species", "tape_id", "stem"))
     out = tables.merged([out, lost.select("species", "cut_file", "tape_id", "cut_sr", "status")])
-    tables.write_table(out, a.out, partition_by=("species",))
-    return out
+    tables.write_table(out, a.out, partition_by=("species",), mode="append" if again else "overwrite")
+    return tables.alignments(spark, a.out)
 
 
 def consensus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -110,6 +114,33 @@ def build_clips(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     share = evalset.density(spans, a.clip_s).withColumnRenamed("win_id", "clip_id")
     out = wanted.join(written, "clip_id").join(share, "clip_id", "left").fillna(0.0, ["density"])
     tables.write_table(out, f"{a.out}/metadata.csv", sep=",")
+    counts = {r.label: r["count"] for r in wanted.groupBy("label").count().collect()}
+    tables.write_card(spark, f"{a.out}/card", f"{a.config}: clips of {a.clip_s:g} s at {a.target_sr} Hz", {"with events": counts.get("event", 0), "without": counts.get("none", 0)})
+    return out
+
+
+def build_tapes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Clips from tapes: each confidently located cut on its tape's canonical channel, with the cut alone as truth,
+    and event-free clips of the same tapes."""
+    confident = tables.alignments(spark, a.confident).where("status = 'ok'")
+    canon = provenance.canonical_channel(confident)
+    located = provenance.offsets(confident, tables.alignments(spark, a.raw), canon).withColumn("master", F.concat_ws("/", F.lit(a.root), F.lit("master_tapes"), "species", "tape_id", "canon"))
+    located = located.withColumn("off_s", F.col("on_s") + F.col("cut_dur_s"))
+    known = audio.durations(located.select(F.col("master").alias("file_id"), F.col("master").alias("path")).distinct()).where("status = 'ok'").select(F.col("file_id").alias("master"), F.col("duration_s").alias("total_s"))
+    wanted = located.where(F.col("cut_dur_s") <= a.max_event_s).join(known, "master").withColumn("key", F.concat_ws("|", "species", "cut_file"))
+    placed = evalset.place_clips(wanted.withColumn("onset_s", F.col("on_s")).withColumn("dur_s", F.col("cut_dur_s")), a.clip_s, a.margin_s, "key", a.seed)
+    # names carry the species: tapes of two species may share a number
+    placed = placed.withColumn("clip_id", safe_id(F.concat_ws("_", "species", F.regexp_replace("cut_file", r"\.[^.]*$", "")))).withColumn("t1", F.col("t0") + a.clip_s).persist()
+    events = located.select("master", F.col("on_s").alias("start_s"), F.col("off_s").alias("end_s"))
+    needs = placed.groupBy("master", "total_s").agg((F.count("*") * a.neg_per_pos).cast("int").alias("n"))
+    free = evalset.draw_negatives(needs, events, a.clip_s, a.margin_s, a.seed).join(placed.select("master", "species", "tape_id").distinct(), "master")
+    free = free.withColumn("clip_id", safe_id(F.concat_ws("_", F.lit("neg"), "species", "tape_id", F.lpad(F.col("k").cast("string"), 2, "0")))).withColumn("t1", F.col("t0") + a.clip_s)
+    columns = ("clip_id", "species", "tape_id", F.col("master").alias("path"), "t0", "t1")
+    clips = placed.select(*columns, F.lit("event").alias("label"), "rel_on", "rel_off").unionByName(free.select(*columns, F.lit("none").alias("label")), allowMissingColumns=True)
+    written = audio.write_clips(audio.clips(clips, a.target_sr).where("status = 'ok'"), f"{a.out}/clips")
+    tables.write_table(placed.select(F.col("clip_id").alias("file_id"), F.col("rel_on").alias("Begin Time (s)"), F.col("rel_off").alias("End Time (s)")), f"{a.out}/gt.tsv")
+    out = clips.drop("path").join(written, "clip_id")
+    tables.write_table(out, f"{a.out}/metadata.csv", sep=",")
     return out
 
 
@@ -134,8 +165,9 @@ def parser() -> argparse.ArgumentParser:
     command(benchmark, audio_dir=..., gt=..., detectors="all", out_dir=str, target_sr=int, chunk_s=float, overlap_s=0.0, onset_collar=0.2, offset_collar=0.2, offset_fraction=0.2, iou_threshold=0.5)
     command(score, wav_scp=..., out=..., detector="maad_roi", target_sr=48000, window_s=10.0, num_shards=1, shard_id=0)
     command(select, scored=..., out_segments=..., keep_frac=0.5, rank_by="sum_score", scope="per_recording")
-    command(align, data_root=..., out=..., species=str, tape=str, limit=0, mode="wave", env_rate=1000, corr_rate=48000)
+    command(align, data_root=..., out=..., species=str, tape=str, limit=0, no_resume=False, mode="wave", env_rate=1000, corr_rate=48000)
     command(consensus, raw=..., min_ncc=0.5, tol=0.05, out=str, sweep=False)
+    command(build_tapes, confident=..., raw=..., root=..., out=..., clip_s=10.0, max_event_s=6.0, margin_s=1.0, neg_per_pos=1, target_sr=48000, seed=0)
     command(build_clips, dump=..., config=..., out=..., clip_s=10.0, margin_s=1.0, neg_per_pos=1, target_sr=32000, max_positives=400, max_per_species=50, seed=0)
     return p
 

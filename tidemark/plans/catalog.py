@@ -487,7 +487,7 @@ def ncc_locate(spark, sf_dir):
     return alignment.align(pairs, masters).select("cut_file", *_r("offset_s", "ncc_peak", digits=4), "status")
 
 
-@query("""SELECT vec_id, k, round(sqrt((SELECT sum(v * v) FROM (SELECT unnest(embedding[k * 8 + 1 : k * 8 + 8])::DOUBLE AS v)) / 8), 5) AS rms FROM embeddings, (SELECT unnest(range(8)) AS k)""")
+@query("""SELECT vec_id, k, round(CAST(CAST(sqrt((SELECT sum(v * v) FROM (SELECT unnest(embedding[k * 8 + 1 : k * 8 + 8])::DOUBLE AS v)) / 8) AS FLOAT) AS DOUBLE), 5) AS rms FROM embeddings, (SELECT unnest(range(8)) AS k)""")
 def rms_envelope(spark, sf_dir):
     def run(batches):
         import pyarrow as pa

@@ -117,12 +117,23 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.expr(f"try_cast({c} AS double)").alias(c) if c in number else F.col(c) for c in rows.columns))
 
 
-def write_table(rows: DataFrame, path: str, sep: str = "\t", partition_by: tuple[str, ...] = ()) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_table(rows: DataFrame, path: str, sep: str = "\t", partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """Any result as delimited text; with partition_by only the partitions at hand are replaced."""
-    out = rows.write.option("sep", sep).option("header", True).mode("overwrite")
+    out = rows.write.option("sep", sep).option("header", True).mode(mode)
     (out.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic") if partition_by else out).csv(path)
 
 
+def write_card(spark: SparkSession, path: str, title: str, facts: dict[str, object]) -> None:
+    """A short text that says what a data set holds."""
+    lines = [f"# {title}", "", *(f"- {k}: {v}" for k, v in facts.items())]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def merged(tables: list[DataFrame]) -> DataFrame:
     """Shards or per-detector results as one table."""
     out = tables[0]
