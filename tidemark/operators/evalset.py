@@ -62,10 +62,16 @@ def events_in_windows(windows: DataFrame, events: DataFrame, merge: bool = True)
 
 
 def free_windows(windows: DataFrame, events: DataFrame, margin_s: float = 0.0) -> DataFrame:
-    """Windows (master, t0, t1) that, widened by margin_s, no event overlaps; touching is allowed."""
-    e = events.select(F.col("master").alias("_m"), "start_s", "end_s")
-    hit = (F.col("master") == F.col("_m")) & (F.col("end_s") > F.col("t0") - margin_s) & (F.col("start_s") < F.col("t1") + margin_s)
-    return windows.join(e, hit, "left_anti")
+    """Windows (master, t0, t1) that, widened by margin_s, no event overlaps; touching is allowed.
+
+    As in events_in_windows, both sides meet in time buckets, so a master with very many events is spread by time."""
+    width = float(windows.agg(F.max(F.col("t1") - F.col("t0"))).first()[0] or 0.0) + 2 * margin_s or 1.0
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor(b / width).cast("long"))).alias("cell")
+    own = windows.select("master", "t0", "t1").distinct()
+    w = own.select("master", "t0", "t1", cells(F.col("t0") - margin_s, F.col("t1") + margin_s))
+    e = events.select(F.col("master").alias("master"), F.col("start_s").alias("start_s"), F.col("end_s").alias("end_s"), cells(F.col("start_s"), F.col("end_s")))
+    hit = w.join(e, ["master", "cell"]).where((F.col("end_s") > F.col("t0") - margin_s) & (F.col("start_s") < F.col("t1") + margin_s)).select("master", "t0", "t1").distinct()
+    return windows.join(hit, ["master", "t0", "t1"], "left_anti")
 
 
 def draw_negatives(needs: DataFrame, events: DataFrame, clip_s: float, margin_s: float, seed: int = 0) -> DataFrame:

@@ -46,23 +46,28 @@ def consensus(rows: DataFrame, min_ncc: float = 0.5, tol: float = 0.05, keys: tu
     with the highest ncc_peak (first of equals) stands for the cut. Status: ok_single with one qualifying row, ok with
     a cluster of two or more, else no_consensus; without qualifying rows no_match (offsets blank) if any was ok, else
     the first row's status."""
-    key = list(keys)
-    near = agreement(rows, min_ncc, tol, keys)
+    # Everything is a window over the cut's rows, so they are shuffled once.
+    by = ", ".join(f"`{k}`" for k in keys)
     own = Window.partitionBy(*keys)
-    ranked = near.withColumn("n_qual", F.count("*").over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("n_agree"), "ord")))
-    ranked = ranked.withColumn("_anchor", F.max(F.when(F.col("_r") == 1, F.col("offset_s"))).over(own)).withColumn("_size", F.max("n_agree").over(own))
-    inside = ranked.where(F.abs(F.col("offset_s") - F.col("_anchor")) <= tol)
-    best = inside.withColumn("_b", F.row_number().over(own.orderBy(F.desc("ncc_peak"), "ord"))).where("_b = 1")
-    status = F.when(F.col("n_qual") == 1, "ok_single").when(F.col("_size") >= 2, "ok").otherwise("no_consensus")
-    chan = rows.groupBy(*keys).agg(F.count("*").alias("n_chan"), F.max((F.col("status") == "ok").cast("int")).alias("_any"))
-    good = best.withColumn("status", status).withColumn("n_agree", F.col("_size")).drop("_r", "_anchor", "_size", "_b").join(chan.drop("_any"), key)
-    rest = rows.withColumn("_f", F.row_number().over(own.orderBy("ord"))).where("_f = 1").drop("_f").join(best.select(*keys), key, "left_anti").join(chan, key)
-    blank = F.col("_any") == 1
+    ncc = F.coalesce("ncc_peak", F.lit(0.0))
+    good = (F.col("status") == "ok") & (ncc >= min_ncc)
+    out = rows.withColumn("_o", F.when(good, F.coalesce("offset_s", F.lit(0.0))))
+    near = f"count(_o) OVER (PARTITION BY {by} ORDER BY _o RANGE BETWEEN CAST({tol!r} AS DOUBLE) PRECEDING AND CAST({tol!r} AS DOUBLE) FOLLOWING)"
+    out = out.withColumn("_near", F.when(F.col("_o").isNotNull(), F.expr(near)))
+    first = F.min(F.when(F.col("_o").isNotNull(), F.struct((-F.col("_near")).alias("n"), "ord", "_o"))).over(own)
+    out = out.withColumns({"n_chan": F.count("*").over(own), "n_qual": F.count("_o").over(own), "_any": F.max(F.col("status") == "ok").over(own), "_first": first})
+    inside = F.coalesce(F.abs(F.col("_o") - F.col("_first._o")) <= tol, F.lit(False))
+    # the cluster's best row; without a cluster the cut's first one
+    place = F.row_number().over(own.orderBy(F.col("_in").desc(), F.when(F.col("_in"), ncc).desc(), "ord"))
+    out = out.withColumn("_in", inside).withColumn("_r", place).where("_r = 1")
+    n_agree = F.coalesce(-F.col("_first.n"), F.lit(0))
+    blank = (F.col("n_qual") == 0) & F.col("_any")
+    status = F.when(F.col("n_qual") == 1, "ok_single").when(n_agree >= 2, "ok").when(F.col("n_qual") > 0, "no_consensus").when(F.col("_any"), "no_match").otherwise(F.col("status"))
+    kept = {"offset_s": F.coalesce("_o", "offset_s")}
     for c in ("offset_s", "end_s", "ncc_peak", "peak_ratio"):
         if c in rows.columns:
-            rest = rest.withColumn(c, F.when(~blank, F.col(c)))
-    rest = rest.withColumn("status", F.when(blank, "no_match").otherwise(F.col("status"))).drop("_any").withColumn("n_qual", F.lit(0).cast("long")).withColumn("n_agree", F.lit(0).cast("long"))
-    return good.unionByName(rest)
+            kept[c] = F.when(~blank, kept.get(c, F.col(c)))
+    return out.withColumns({**kept, "n_agree": n_agree, "status": status}).select(*rows.columns, "n_chan", "n_qual", "n_agree")
 
 
 def consensus_sweep(rows: DataFrame, tol: float = 0.05, keys: tuple[str, ...] = ("species", "cut_file")) -> DataFrame:
