@@ -61,11 +61,12 @@ def test_base_spans(spark):
 def test_added_spans_and_redaction(spark):
     key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
     clean = ["the internationalization-of-everything goes on", "A perfectly clean text of 1999 words, no. 12 and 3.", "see pages 100-200"]
-    private = [f'Set token = "{key[k:] + key[:k]}" now' for k in range(20)] + [f"My SSN is 52{k % 10}-1{k % 9}-456{k % 10}, thanks." for k in range(20)] + ["write to jane [at] example [dot] com please", "call 415 555-0132, ok"]
+    private = [f'Set token = "{key[k:] + key[:k]}" now' for k in range(20)] + [f"My SSN is 52{k % 10}-1{k % 9}-456{k % 10}, thanks." for k in range(20)] + ["write to jane [at] example [dot] com please", "call 415 555-0132, ok"] + [f"pay AKIA{key[k:k + 16].upper()} here" for k in range(12)] + [f"with password={key[k:k + 18]} or" for k in range(12)]
     df = spark.createDataFrame(list(enumerate(clean * 10 + private)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find(df).collect()}
     assert all(not got[k].spans for k in range(30))
     assert all(got[k].spans.startswith("secret:") for k in range(30, 50)) and all(got[k].spans.startswith("ssn:") for k in range(50, 70))
+    assert all(got[k].spans.startswith("secret:") for k in range(72, 96))
     out = {r.doc_id: r.text for r in pii.redact(df.union(spark.createDataFrame([(500, "ä a@b.co, +1 (017) 555-7713 😀 end"), (501, None)], df.schema))).collect()}
     assert out[500] == "ä [EMAIL], [PHONE] 😀 end" and out[501] is None and out[0] == clean[0] and out[30] == 'Set token = "[SECRET]" now'
 
