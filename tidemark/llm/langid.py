@@ -138,7 +138,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
         rows = sorted(zip(langs, texts, strict=True))
         return pa.table({"model": pa.array([pickle.dumps(fit([t for _, t in rows], [y for y, _ in rows], idf))], pa.binary())})
 
-    found = known.select("doc_id", "text", "lang").join(chosen, "doc_id", "left_semi").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "model binary").collect()
+    # at most SAMPLE ids per language: broadcast, so that no text is shuffled but the sample's
+    found = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "model binary").collect()
     return pickle.loads(found[0].model)
 
 
