@@ -206,6 +206,17 @@ def detect_chunked(detector: Detector, x: np.ndarray, sr: int, chunk_s: float |
     return out
 
 
+Render = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _over(recordings: DataFrame, run: Render, schema: str, render: Render | None) -> DataFrame:
+    """run over recordings (file_id, sr, samples array<float>), or over what render makes of the rows within the same
+    pass: samples that a task can make itself need not go through Spark's rows."""
+    if render is None:
+        return recordings.select("file_id", "sr", "samples").mapInArrow(run, schema)
+    return recordings.mapInArrow(lambda batches: run(render(batches)), schema)
+
+
 EVENTS = "file_id string, detector string, params map<string,string>, ord long, onset_s double, offset_s double, score double, status string"
 
 
@@ -215,7 +226,7 @@ def _event_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], names=names)
 
 
-def detect(recordings: DataFrame, names: list[str], params: dict[str, dict] | None = None, chunk_s: float | None = None, overlap_s: float = 0.0) -> DataFrame:
+def detect(recordings: DataFrame, names: list[str], params: dict[str, dict] | None = None, chunk_s: float | None = None, overlap_s: float = 0.0, render: Render | None = None) -> DataFrame:
     """recordings (file_id, sr, samples array<float>) -> events of every named detector, in one pass over the samples.
 
     A recording that a detector fails on gives one row with null times and the error as status."""
@@ -236,10 +247,10 @@ def detect(recordings: DataFrame, names: list[str], params: dict[str, dict] | No
                         rows.append((file_id, d.name, told, 0, None, None, None, f"error:{type(e).__name__}:{e}"[:120]))
                 yield _event_batch(rows)
 
-    return recordings.select("file_id", "sr", "samples").mapInArrow(run, EVENTS)
+    return _over(recordings, run, EVENTS, render)
 
 
-def salience_curves(recordings: DataFrame, name: str, **params) -> DataFrame:
+def salience_curves(recordings: DataFrame, name: str, render: Render | None = None, **params) -> DataFrame:
     """(file_id, frame_idx, time_s, value) of a detector's curve."""
     d = get_detector(name, **params)
     schema = "file_id string, frame_idx int, time_s double, value double"
@@ -253,10 +264,10 @@ def salience_curves(recordings: DataFrame, name: str, **params) -> DataFrame:
                 n = len(curve[0])
                 yield pa.RecordBatch.from_arrays([pa.array([file_id] * n, pa.string()), pa.array(np.arange(n), pa.int32()), pa.array(curve[0]), pa.array(curve[1].astype(np.float64))], names=["file_id", "frame_idx", "time_s", "value"])
 
-    return recordings.select("file_id", "sr", "samples").mapInArrow(run, schema)
+    return _over(recordings, run, schema, render)
 
 
-def score_windows(recordings: DataFrame, name: str = "maad_roi", window_s: float = 10.0, **params) -> DataFrame:
+def score_windows(recordings: DataFrame, name: str = "maad_roi", window_s: float = 10.0, render: Render | None = None, **params) -> DataFrame:
     """(seg_id, wav_id, k, start, end, n_events, max_score, sum_score) for each grid window, the detector being run on
     each window by itself."""
     d = get_detector(name, **params)
@@ -275,4 +286,4 @@ def score_windows(recordings: DataFrame, name: str = "maad_roi", window_s: float
                 kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seg_id", "wav_id", "k", "start", "end", "n_events", "max_score", "sum_score"])
 
-    return recordings.select("file_id", "sr", "samples").mapInArrow(run, schema)
+    return _over(recordings, run, schema, render)

@@ -505,29 +505,29 @@ def rms_envelope(spark, sf_dir):
 
 
 def _tones(spark, sf_dir):
-    """Rendered recordings, one per user of the first events: noise with tone bursts where the user's events fall."""
-    rows = src.timed(spark, sf_dir).groupBy("file_id").agg(F.slice(F.array_sort(F.collect_list("value")), 1, 4).alias("v")).withColumn("n", F.xxhash64("file_id")).orderBy("n").limit(8)
+    """(file_id, v): a recording to render per user, with the values of all of the user's events."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes of values still make many tasks
+    rows = src.timed(spark, sf_dir).select("file_id", "value").repartition(n, "file_id").groupBy("file_id")
+    return rows.agg(F.array_sort(F.collect_list("value")).alias("v"))
 
-    def render(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for file_id, v in zip(ids, batch.column(1).to_pylist(), strict=True):
-                rng = np.random.default_rng([len(file_id), *file_id.encode()])
-                x = 0.003 * rng.standard_normal(16000 * 6)
-                for k, value in enumerate(v):
-                    a = int(16000 * (0.5 + 1.4 * k))
-                    x[a : a + 6400] += 0.4 * np.sin(2 * np.pi * (2000 + 8 * value) * np.arange(6400) / 16000)
-                out.append(x.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([16000] * len(ids), pa.int32()), pa.array(out, pa.list_(pa.float32()))], names=["file_id", "sr", "samples"])
+def _render(batches):
+    """Noise with a tone burst for each of the user's events, 1.4 s apart; one recording a batch."""
+    import pyarrow as pa
 
-    return rows.select("file_id", "v").mapInArrow(render, "file_id string, sr int, samples array<float>")
+    for batch in batches:
+        for file_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rng = np.random.default_rng([len(file_id), *file_id.encode()])
+            x = 0.003 * rng.standard_normal(round(16000 * (0.4 + 1.4 * len(v))))
+            for k, value in enumerate(v):
+                a = int(16000 * (0.5 + 1.4 * k))
+                x[a : a + 6400] += 0.4 * np.sin(2 * np.pi * (2000 + 8 * value) * np.arange(6400) / 16000)
+            yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.string()), pa.array([16000], pa.int32()), pa.array([x.astype(np.float32)], pa.list_(pa.float32()))], names=["file_id", "sr", "samples"])
 
 
 def _detect(name: str):
     def run(spark, sf_dir):
-        return detectors.detect(_tones(spark, sf_dir), [name]).select("file_id", "detector", "ord", *_r("onset_s", "offset_s", "score", digits=4), "status")
+        return detectors.detect(_tones(spark, sf_dir), [name], render=_render).select("file_id", "detector", "ord", *_r("onset_s", "offset_s", "score", digits=4), "status")
 
     run.__name__ = f"detect_{name}"
     return run
@@ -539,18 +539,18 @@ for _name in sorted(detectors.REGISTRY):
 
 @query()
 def chunked_detect(spark, sf_dir):
-    return detectors.detect(_tones(spark, sf_dir), ["spectral_entropy"], None, 2.0, 0.5).select("file_id", "ord", *_r("onset_s", "offset_s", digits=4))
+    return detectors.detect(_tones(spark, sf_dir), ["spectral_entropy"], None, 2.0, 0.5, _render).select("file_id", "ord", *_r("onset_s", "offset_s", digits=4))
 
 
 @query()
 def salience_curve_events(spark, sf_dir):
     """A detector's curve taken to events by the island operators instead of its own kernel."""
-    return islands.salience_events(detectors.salience_curves(_tones(spark, sf_dir), "spectral_entropy"), ["file_id"], 1.5, 0.05, 0.1).select("file_id", *_r("onset_s", "offset_s", "score", digits=4))
+    return islands.salience_events(detectors.salience_curves(_tones(spark, sf_dir), "spectral_entropy", _render), ["file_id"], 1.5, 0.05, 0.1).select("file_id", *_r("onset_s", "offset_s", "score", digits=4))
 
 
 @query()
 def score_windows(spark, sf_dir):
-    return detectors.score_windows(_tones(spark, sf_dir), "spectral_entropy", 2.0).select("seg_id", "wav_id", "start", "end", "n_events", *_r("max_score", "sum_score", digits=4))
+    return detectors.score_windows(_tones(spark, sf_dir), "spectral_entropy", 2.0, _render).select("seg_id", "wav_id", "start", "end", "n_events", *_r("max_score", "sum_score", digits=4))
 
 
 # --- text tables ------------------------------------------------------------------------------------------------
