@@ -1,7 +1,7 @@
 """Signature rules of the license scanner, hand-written, one a line: label | priority | keyword | regular expression.
 
 The expressions run on a text's words, lower-cased and joined by single blanks ("apache-2.0" is "apache 2 0"). A rule
-is tried only where its keyword stands in the text. Of overlapping detections the higher priority wins, then the
+is tried only where its keyword stands in the text, at the start of a word: every match must hold it so. Of overlapping detections the higher priority wins, then the
 longer; a detection inside a winner is suppressed.
 """
 
@@ -167,8 +167,8 @@ cc-by-nc-4.0 | 85 | cc by | cc by nc 4 0
 cc-by-nc-3.0 | 85 | cc by | cc by nc 3 0
 cc-by-nc-2.0 | 85 | cc by | cc by nc 2 0
 cc-by-nc-4.0 | 75 | licenses by | creativecommons org licenses by nc 4 0
-cc-by-nc-4.0 | 80 | commercial | creative commons attribution non ?commercial 4 0(?: international)?
-cc-by-nc-3.0 | 80 | commercial | creative commons attribution non ?commercial 3 0(?: unported)?
+cc-by-nc-4.0 | 80 | creative commons attribution | creative commons attribution non ?commercial 4 0(?: international)?
+cc-by-nc-3.0 | 80 | creative commons attribution | creative commons attribution non ?commercial 3 0(?: unported)?
 cc-by-nc | 60 | cc by | cc by nc
 cc-by-nc-sa-4.0 | 90 | cc by | cc by nc sa 4 0
 cc-by-nc-sa-3.0 | 90 | cc by | cc by nc sa 3 0
@@ -178,12 +178,12 @@ cc-by-nc-sa | 65 | cc by | cc by nc sa
 cc-by-nc-nd-4.0 | 90 | cc by | cc by nc nd 4 0
 cc-by-nc-nd-3.0 | 90 | cc by | cc by nc nd 3 0
 cc-by-nc-nd-4.0 | 80 | licenses by | creativecommons org licenses by nc nd 4 0
-cc-by-nc-nd-4.0 | 85 | derivatives | creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?
+cc-by-nc-nd-4.0 | 85 | creative commons attribution | creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?
 cc-by-nc-nd | 65 | cc by | cc by nc nd
 cc-by-nd-4.0 | 85 | cc by | cc by nd 4 0
 cc-by-nd-3.0 | 85 | cc by | cc by nd 3 0
 cc-by-nd-4.0 | 75 | licenses by | creativecommons org licenses by nd 4 0
-cc-by-nd-4.0 | 80 | derivatives | creative commons attribution no ?derivatives 4 0(?: international)?
+cc-by-nd-4.0 | 80 | creative commons attribution | creative commons attribution no ?derivatives 4 0(?: international)?
 cc-by-nd | 60 | cc by | cc by nd
 cc | 30 | creative commons | (?:licensed|released|available) under (?:a |the )?creative commons
 gfdl-1.3 | 85 | free documentation | gnu free documentation license version 1 3
@@ -232,7 +232,8 @@ busl-1.1 | 80 | business source | business source license(?: 1 1)?
 busl-1.1 | 85 | busl | spdx license identifier busl 1 1
 elastic-2.0 | 80 | elastic | elastic license (?:version |v )?2(?: 0)?
 commons-clause | 60 | commons clause | commons clause(?: license condition)?
-openrail | 60 | openrail | (?:bigscience |creativeml )?open ?rail(?: m)? licen[sc]e
+openrail | 60 | openrail | (?:bigscience |creativeml )?openrail(?: m)? licen[sc]e
+openrail | 60 | open rail | (?:bigscience |creativeml )?open rail(?: m)? licen[sc]e
 llama-community | 60 | llama | llama (?:2 |3 |3 1 )?community licen[sc]e
 proprietary | 40 | all rights reserved | all rights reserved (?:worldwide|no part of this)
 proprietary | 45 | proprietary | proprietary and confidential
