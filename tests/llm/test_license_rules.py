@@ -19,6 +19,8 @@ def wordings(tree):
     for op, arg in tree:
         if op is sre.LITERAL:
             parts.append([chr(arg)])
+        elif op is sre.NOT_LITERAL:
+            parts.append(["x"])
         elif op is sre.IN:
             parts.append([chr(a) for o, a in arg if o is sre.LITERAL] or ["x"])
         elif op is sre.BRANCH:
@@ -52,3 +54,11 @@ def test_gates_pass_every_match():
 )
 def test_official_names(text, label):
     assert labels(text) == [label]
+
+
+def test_classpath_headers():
+    header = "redistribute it and/or modify it under the terms of the GNU General Public License version 2 only, as published by the Free Software Foundation. {} designates this particular file as subject to the \"Classpath\" exception as provided by {}"
+    for name in ("Oracle", "Sun", "Société Générale"):
+        assert "gpl-2.0-classpath" in labels(header.format(name, name))
+    assert "gpl-2.0-classpath" in labels("GPLv2 with Classpath exception")
+    assert "gpl-2.0-classpath" not in labels("GPL " + "word " * 40 + "classpath exception")

@@ -37,7 +37,7 @@ gpl-2.0 | 85 | gpl | spdx license identifier gpl 2 0(?: only| or later)?
 gpl-2.0 | 70 | gpl | gplv2
 gpl-2.0 | 70 | gpl | gpl (?:version |v )?2(?: 0)?
 gpl-2.0 | 75 | general public | general public license v2
-gpl-2.0-classpath | 95 | classpath | (?:gpl|general public license)[a-z0-9 ]{0,60} classpath exception
+gpl-2.0-classpath | 95 | classpath | (?:gpl|general public license)[^ ]*(?: [^ ]+){0,30} classpath exception
 gpl-1.0 | 80 | general public | general public license version 1(?: 0)?
 gpl-1.0 | 85 | gpl | spdx license identifier gpl 1 0(?: only| or later)?
 gpl | 40 | gpl | licensed under (?:the )?(?:terms of the )?(?:gnu )?gpl
