@@ -34,7 +34,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "person": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20})?",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,128}+={0,2}+(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}+(?![A-Za-z0-9_/+=-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
@@ -47,7 +47,7 @@ NEEDS = {
 
 #: labeler -> kind -> pattern that the span (regex, gazetteer) or its context (left, right) must hold for a vote.
 REGEX = {
-    "secret": (r"^(?:(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,128}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+-]{24,128}={0,2}|(?:sk|pk|ghp|gho|xox[bp])[_-].*|AKIA[0-9A-Z]{16})$", r"^(?!AKIA)(?:[A-Za-z]+|[0-9]+|[a-z]+(?:[-/_][a-z]+)*|.*(.)\1{5}.*)$"),
+    "secret": (r"^(?:(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}+|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+-]{24,}+={0,2}|(?:sk|pk|ghp|gho|xox[bp])[_-].*|AKIA[0-9A-Z]{16})$", r"^(?!AKIA)(?:[A-Za-z]+|[0-9]+|[a-z]++(?:[-/_][a-z]++)*+|.*(.)\1{5}.*)$"),
     "ssn": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:000|666|9)|-00-|-0000$"),
     "iban": (r"^(?:AD|AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)", r"^(?:[A-Z]{2}0[01]|.*(.)\1{7})"),
     "local_phone": (r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[\x20.-][0-9]{4}$", r"^\(?[01]"),
