@@ -1,4 +1,4 @@
-"""Secrets of any length."""
+"""Secrets of any length; candidates that hold a base span."""
 
 import random
 
@@ -24,3 +24,18 @@ def test_long_secrets(spark):
         assert spans[k] == f"secret:14:{14 + len(x)}" and redacted[k] == "session_token=[SECRET] ok"
         assert spans[len(long) + k] == f"secret:4:{4 + len(x)}" and redacted[len(long) + k] == "see [SECRET] ok"
     assert all(not spans[len(texts) + k] for k in range(len(clean)))
+
+
+def test_ibans_that_hold_a_card(spark):
+    numbers = ["4111111111111111", "5500005555555559"]  # pass Luhn
+    texts = [f"iban: {land}{tail} ok" for land in ("CH93", "AT61", "FI21", "BE68") for tail in (f" {n[:4]} {n[4:8]} {n[8:12]} {n[12:]}" for n in numbers)]
+    texts += [f"iban: GB29 NWBK {n[:4]} {n[4:8]} {n[8:12]} {n[12:]} ok" for n in numbers]
+    spans, redacted = found(spark, texts)
+    for k, t in enumerate(texts):
+        assert f"iban:6:{len(t) - 3}" in spans[k].split(","), (t, spans[k])
+        assert redacted[k] == "iban: [IBAN] ok"
+    held = [k for k in spans if "card:" in spans[k]]
+    assert held
+    # what lies inside a base span is none
+    spans, redacted = found(spark, ["write to a-very-long-local-part-1234@example.com", "+1 415 555-0132"])
+    assert spans[0].startswith("email:") and "," not in spans[0] and spans[1].startswith("phone:") and "," not in spans[1]

@@ -149,13 +149,13 @@ def _count(k: int, kind: str) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `base`, array<struct<k, start, stop>>, and `extra`, array<struct<k, start, stop, votes, shape>>;
-    k is a kind's place in KINDS. Candidates that touch a base span are left out."""
+    k is a kind's place in KINDS. Candidates that lie inside a base span are left out."""
     t = F.coalesce(F.col(text), F.lit(""))
     base, extra = [], []
     for k, kind in enumerate(KINDS):
         (base if kind in BASE else extra).append(_base(t, k, kind) if kind in BASE else _extra(t, k, kind))
     out = docs.withColumn("base", F.array_sort(F.concat(*base), _order)).withColumn("extra", F.concat(*extra))
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"])))
     return out.withColumn("extra", F.when(F.size("extra") > 0, free).otherwise(F.col("extra")))
 
 
