@@ -6,8 +6,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import ann, embed_dedup, simhash
+from tidemark.llm import ann, components as parts, embed_dedup, simhash
 from tidemark.llm.components import connected_components
+from tidemark.llm.vectors import balanced, nearest_cell, spherical_kmeans, unit
 
 
 def components(n, pairs):
@@ -31,7 +32,9 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_components_of_a_path_a_star_and_noise(spark):
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_components_of_a_path_a_star_and_noise(spark, bound, monkeypatch):
+    monkeypatch.setattr(parts, "ONE_TASK", bound)
     rows = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200), (200, 201)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 160)) and got[201] == 200
@@ -99,10 +102,11 @@ def vectors(rng, n=160, dim=12):
     return rows
 
 
-@pytest.mark.parametrize(("block", "cell"), [(1024, 4096), (8, 4)])
-def test_embedding_links(spark, block, cell, monkeypatch):
+@pytest.mark.parametrize(("block", "cells"), [(4096, None), (8, 12)])
+def test_embedding_links(spark, block, cells, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
-    monkeypatch.setattr(embed_dedup, "CELL", cell)
+    if cells:
+        monkeypatch.setattr(embed_dedup, "centroids", lambda x, rows, threshold: spherical_kmeans(x, cells))
     rows = vectors(np.random.default_rng(6))
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, w int")
     good = [k for k, (_, x, lab) in enumerate(rows) if lab is not None and x and None not in x and np.isfinite(x).all() and any(x)]
@@ -133,10 +137,10 @@ def test_neighbours_of_odd_rows(spark):
         if q % 20 == 0:
             near = sorted((-(v * x).sum(), k) for k, x in good if k != q)[:20]
             want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(near)]
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, ratio=10.0).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, recall=1.0).collect())
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
     assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-12)
-    few = ann.nearest(df.where("vec_id < 5"), ratio=10.0).collect()
+    few = ann.nearest(df.where("vec_id < 5"), recall=1.0).collect()
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, k) for k in (1, 2, 3, 4)]
     assert ann.nearest(df.limit(0)).count() == 0
 
@@ -163,11 +167,65 @@ def test_centroid_graph_reaches_the_near_lists():
     c = rng.standard_normal((300, 16))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     graph = ann.CentroidGraph(c)
+    graph.ratio = 1.2
     hit = total = 0
     for q in c[:40] + 0.2 * rng.standard_normal((40, 16)):
         q /= np.linalg.norm(q)
         d = np.sqrt(2 - 2 * c @ q)
         want = set(np.flatnonzero(d <= 1.2 * d.min()).tolist())
-        hit += len(want & set(graph.lists(q, 1.2).tolist()))
+        hit += len(want & set(graph.lists(q).tolist()))
         total += len(want)
     assert hit / total > 0.95
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(1, [1e300, 1e299], 0), (2, [1e300, 1e299], 0), (3, [1.0, 0.1], 0), (4, [1e-200, 1e-201], 0), (5, [-1.0, 5.0], 0), (6, [1.0 + 2**-40, 1.0], 1), (7, [1.0, 1.0], 1), (20, [1e-3, 2e-3], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert all(got[k] == (3, 1) for k in (1, 2, 3, 4)) and got[5] == (0, 5)
+    assert got[6] == got[7] == (2, 6)
+    near = {r.vec_id: r.score for r in ann.nearest(df.where("vec_id > 2")).collect()}
+    assert set(near) == {3, 4, 5, 6, 7} and near[6] == (1.0 + 2**-40) * 1e-3 + 2e-3 and near[6] > near[7] and near[4] == 1e-203 + 2e-204
+
+
+def test_repeated_query_ids_are_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["rank"], r.vec_id, round(r.score, 3)) for r in got) == [(1, 1, 0.9), (1, 2, 0.9), (2, 1, 0.1), (2, 2, 0.1)]
+
+
+def test_splitting_into_chunks_changes_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, [float(v) for v in rng.standard_normal(6)]) for k in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.nearest(df, recall=1.0).collect()))
+    monkeypatch.setattr(ann, "CHUNK", 7)
+    assert sorted(map(tuple, ann.nearest(df, recall=1.0).collect())) == whole
+
+
+def crowded(rng, n=6000, dim=32):
+    centres = rng.standard_normal((60, dim))
+    return unit(centres[rng.integers(0, 60, n)] + 0.35 * rng.standard_normal((n, dim)))
+
+
+def test_lists_are_balanced():
+    rng = np.random.default_rng(4)
+    half = np.concatenate([unit(rng.standard_normal((4000, 16))), unit(rng.standard_normal(16) + 0.05 * rng.standard_normal((4000, 16)))])
+    for x in (half, crowded(rng)):
+        centres = balanced(x, 100)
+        sizes = np.bincount(nearest_cell(x, centres), minlength=len(centres))
+        assert sizes.max() <= 3 * len(x) / 100 and sizes.sum() == len(x)
+
+
+def test_clustered_vectors_are_pruned(spark):
+    x = crowded(np.random.default_rng(9))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 300 and hit / 6000 >= 0.9
+    assert ann.scanned(df) <= 0.1

@@ -1,6 +1,7 @@
 """Connected components of a link table, without ever holding all links in one place.
 
-Each partition first contracts its own links to stars (union-find over one partition's rows). Then large-star and
+Each partition first contracts its own links to stars (union-find over one partition's rows). If few are left, one task
+contracts them once more and the search is over. Otherwise large-star and
 small-star rounds alternate (Kiveris et al., Connected Components in MapReduce and Beyond, 2014): every round is two
 aggregations by node and two joins, checkpointed to the shared folder. A hub's rows are reduced to a minimum before
 they are shuffled, and the joins have one row per node on one side, so a hub that a third of all nodes hang from is
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LocalSets, cut
 
+#: As few links are contracted in one task, which ends the search; more go through the rounds, with the same result.
+ONE_TASK = 50_000
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = LocalSets()
@@ -42,6 +46,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if n == 0 or (n, total) == before:
             break
         before = (n, total)
+        if n <= ONE_TASK:
+            edges = cut(edges.coalesce(1).mapInArrow(_contract, "u long, v long"))
+            break
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
