@@ -1,6 +1,8 @@
 """License rules: their gates let every match through."""
 
 import itertools
+import random
+import time
 from re import _parser as sre
 
 import pytest
@@ -62,3 +64,37 @@ def test_classpath_headers():
         assert "gpl-2.0-classpath" in labels(header.format(name, name))
     assert "gpl-2.0-classpath" in labels("GPLv2 with Classpath exception")
     assert "gpl-2.0-classpath" not in labels("GPL " + "word " * 40 + "classpath exception")
+
+
+def test_repeats_are_found_side_by_side():
+    affero = "GNU Affero General Public License version 3 "
+    for n in (1, 2, 5):
+        assert labels(affero * n) == ["agpl-3.0"] * n
+    s = licenses.Scanner()
+    one, two = (s.scan((affero * n).encode()) for n in (1, 2))
+    assert one[5] == two[5] == "agpl-3.0" and one[6] == pytest.approx(0.9) and two[6] == pytest.approx(0.99)
+
+
+def test_suppression_is_that_of_all_pairs():
+    rng = random.Random(4)
+    parts = ["gnu", "affero", "lesser", "general public license", "version 3", "version 2", "or at your option any later version", "cc by", "nc", "sa", "4 0", "apache license", "version 2 0", "x"]
+    s = licenses.Scanner()
+    for _ in range(300):
+        line = (" " + " ".join(rng.choice(parts) for _ in range(rng.randrange(40))) + " ").encode()
+        found = sorted((-p, m.start() - m.end(), m.start(), m.end(), label) for keyword, rules in s.rules.items() if keyword in line for p, label, rx in rules for m in rx.finditer(line))
+        kept = []
+        for p, _, a, b, label in found:
+            if not any(c <= a and b <= d for _, c, d, _ in kept):
+                kept.append((-p, a, b, label))
+        assert s.detections(line) == kept
+
+
+def test_long_texts_take_time_in_proportion():
+    s = licenses.Scanner()
+    text = b"GNU Lesser General Public License version 2.1, CC BY-NC-SA 4.0 and the MIT License; "
+    took = []
+    for size in (500_000, 5_000_000):
+        start = time.process_time()
+        s.scan(text * (size // len(text)))
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * max(took[0], 0.05)

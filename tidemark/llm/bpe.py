@@ -2,7 +2,8 @@
 
 A pre-token's symbols form a doubly linked list; a heap holds (merge rank, position) of neighbouring pairs. The least
 rank is merged first, the leftmost of equal ranks; entries whose symbols have changed since are stale and skipped.
-Decoding concatenates vocabulary strings. Results per pre-token are kept in a bounded cache of each worker.
+Decoding concatenates vocabulary strings. Results per pre-token are kept in a bounded cache of each worker, named by the
+tokenizer file's digest.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import map_columns, worker_state
+from tidemark.llm.common import map_columns, shared, worker_state
 
 #: Entries of a worker's cache; a full cache is emptied.
 CACHE = 400_000
@@ -49,11 +51,9 @@ class Codec:
     words: bool  # the lower-casing kind with word ends
     pattern: str  # splits a text into pre-tokens
     latin: str  # the same for texts without characters beyond NEAR: small classes are several times as fast
+    key: str  # digest of the file's content: workers keep what they cache under it
     lower: dict[int, str] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.key = hashlib.sha1(repr((self.words, len(self.merges), sorted(self.special), self.start[:3])).encode()).hexdigest()
-
 
 def char_class(chars: list[str]) -> str:
     """Ranges of a regular expression's class. Explicit classes suit the standard re module, which is some 40 times as
@@ -71,7 +71,9 @@ def load(path: str) -> Codec:
     """Read a tokenizers file of one of the two public kinds: byte-level pre-tokens, or lower-cased words with ends."""
     from tokenizers import Tokenizer
 
-    spec = json.load(open(path, encoding="utf-8"))
+    with open(path, "rb") as f:
+        content = f.read()
+    spec = json.loads(content)
     vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
     letters = byte_letters()
     merges = {}
@@ -107,7 +109,7 @@ def load(path: str) -> Codec:
 
     return Codec(
         [vocab[x] for x in letters], [vocab[x + end] for x in letters], merges, {i: s for s, i in vocab.items()} | {i: s for s, i in special.items()},
-        special, bool(spec["normalizer"]), pattern(chr(0x10FFFF)), pattern(NEAR), lower,
+        special, bool(spec["normalizer"]), pattern(chr(0x10FFFF)), pattern(NEAR), hashlib.sha256(content).hexdigest(), lower,
     )
 
 
@@ -186,19 +188,36 @@ class Cache(dict):
         return out
 
 
+class Decoder:
+    """Ids to text: the strings of the vocabulary, put together.
+
+    Word files name no decoder; the library then puts a blank between two strings. Byte-level files write a letter for
+    each byte: the strings' bytes are put together and read as UTF-8, what is none becoming U+FFFD."""
+
+    def __init__(self, codec: Codec) -> None:
+        back = {x: b for b, x in enumerate(byte_letters())}
+        self.glue = b" " if codec.words else b""
+        own = lambda s: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
+        # a special token is its own text; the letters of bytes stand only in the vocabulary's other strings
+        special = set(codec.special.values())
+        self.bytes = {i: s.encode() if codec.words or i in special else own(s) for i, s in codec.strings.items()}
+
+    def decode(self, ids: list[int]) -> str:
+        return self.glue.join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Encoder:
     """Whole texts to packed ids and back."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec, self.split = codec, Splitter(codec)
+        self.codec, self.split, self.decoder = codec, Splitter(codec), Decoder(codec)
         self.cache = Cache(lambda word: self.packed(merge(codec, word.encode())))
 
     def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b"".join(i.to_bytes(4, "little") for i in ids), b" ".join(self.codec.strings[i].encode() for i in ids) if self.codec.words else b"".join(self.codec.strings[i].encode() for i in ids)
+        return b"".join(i.to_bytes(4, "little") for i in ids), self.decoder.glue.join(map(self.decoder.bytes.__getitem__, ids))
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian unsigned 32-bit integers, and the vocabulary strings put together in UTF-8 (with a blank
-        between two, as the library does for files that name no decoder)."""
+        """Ids as little-endian unsigned 32-bit integers, and the bytes of the vocabulary strings put together."""
         ids, strings = [], []
         texts, specials = self.split.segments(text)
         for k, part in enumerate(texts):
@@ -208,7 +227,7 @@ class Encoder:
             if k < len(specials):
                 ids.append(self.codec.special[specials[k]].to_bytes(4, "little"))
                 strings.append(specials[k].encode())
-        return b"".join(ids), (b" " if self.codec.words else b"").join(strings)
+        return b"".join(ids), self.decoder.glue.join(strings)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -217,22 +236,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     A null text counts as empty: no ids and an empty decoded text. Other columns of docs are ignored, whatever their
     names; repeated rows and null keys are kept as they are; an empty table gives no rows.
     """
-    codec = load(path)
+    codec = shared(docs.sparkSession, load(path))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def make():
-        encoder = worker_state(f"bpe-{codec.key}", lambda: Encoder(codec))
+        encoder = worker_state(f"bpe-{codec().key}", lambda: Encoder(codec()))
 
         def work(keys: pa.Array, texts: pa.Array) -> dict:
             out: dict = {key: keys, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for t in texts.to_pylist():
                 ids, decoded = encoder.encode(t or "")
+                if not encoder.codec.words:  # bytes of broken characters are replaced, as the library does
+                    decoded = decoded.decode("utf-8", "replace").encode()
                 out["n_tokens"].append(len(ids) // 4)
                 out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 if keep_ids:
-                    out["ids"].append([int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)])
+                    out["ids"].append(np.frombuffer(ids, "<u4").astype(np.int32))
                     out["decoded"].append(decoded.decode())
             return out
 
@@ -241,6 +262,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     return map_columns(docs, [key, text], schema, make)
 
 
-def decode(codec: Codec, ids: list[int]) -> str:
-    """Vocabulary strings of ids, put together."""
-    return (" " if codec.words else "").join(codec.strings[i] for i in ids)
+def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
+    """(key, decoded) of rows with a column of ids: the vocabulary's strings put together, special tokens included.
+
+    Null ids give a null text, no ids an empty one, an id that the vocabulary lacks is an error. Other columns are
+    ignored; repeated rows and null keys stay; an empty table gives no rows."""
+    codec = shared(rows.sparkSession, load(path))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def make():
+        decoder = worker_state(f"decode-{codec().key}", lambda: Decoder(codec()))
+
+        def work(keys: pa.Array, lists: pa.Array) -> dict:
+            return {key: keys, "decoded": [None if x is None else decoder.decode(x) for x in lists.to_pylist()]}
+
+        return work
+
+    return map_columns(rows, [key, ids], f"{key} {kind}, decoded string", make)

@@ -1,8 +1,8 @@
 """Signature rules of the license scanner, hand-written, one a line: label | priority | keyword | regular expression.
 
 The expressions run on a text's words, lower-cased and joined by single blanks ("apache-2.0" is "apache 2 0"). A rule
-is tried only where its keyword stands in the text, at the start of a word: every match must hold it so. Of overlapping detections the higher priority wins, then the
-longer; a detection inside a winner is suppressed.
+is tried only where its keyword stands in the text, at the start of a word: every match must hold it so. Of detections
+that hold one another the higher priority wins, then the longer: one inside a winner is suppressed.
 """
 
 TEXT = r"""

@@ -1,13 +1,14 @@
 """Best-fit packing with conflicts (operator 9).
 
 Documents are cut into pieces of at most `capacity` words. A bin holds pieces up to the capacity, at most one per
-source and at most one per cluster of duplicates. Pieces are dealt to shards of some SHARD documents by a hash of the
-document, so a source or a cluster that holds a third of all rows is spread evenly; each shard is packed by one task.
+source and at most one per cluster of duplicates. Pieces are dealt to shards of some SHARD documents: rows are numbered
+within their table's partitions, and the number and a hash of the document pick the shard, so neither a source, nor a
+cluster, nor one row repeated a million times fills a shard; each is packed by one task.
 
 Within a shard, longest pieces first, bins are kept by residual: a tree over residuals holds, for each span, the
 sources that every bin below it already carries. The search starts at the smallest residual that fits and goes to
 the next greater ones until it finds the tightest bin whose source and cluster bitmaps are free; spans in which all
-bins carry the piece's source are passed over as a whole.
+bins carry the piece's source, and groups of bins that all carry its cluster, are passed over as a whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Bins:
         # The sources that all bins of a span have in common; -1 (all of them) for a span without bins.
         self.common = [-1] * (2 * self.size)
         self.at: list[dict[int, list[int]]] = [{} for _ in range(self.size)]  # residual -> source bitmap -> bins
+        self.carried: list[dict[tuple[int, int], int]] = [{} for _ in range(self.size)]  # residual -> (source bitmap, cluster) -> how many of those bins carry it
         self.clusters: list[int] = []
         self.used: list[int] = []
 
@@ -73,13 +75,14 @@ class Bins:
         residual = self._next(length, source)
         while residual >= 0:
             for mask, bins in self.at[residual].items():
-                if mask & source:
+                if mask & source or self.carried[residual].get((mask, cluster), 0) == len(bins):
                     continue
                 for k in range(len(bins) - 1, -1, -1):
                     if not self.clusters[bins[k]] & cluster:
                         chosen = bins.pop(k)
                         if not bins:
                             del self.at[residual][mask]
+                        self._count(residual, mask, self.clusters[chosen], -1)
                         self._update(residual)
                         return self._place(chosen, residual, mask, length, source, cluster)
             residual = self._next(residual + 1, source)
@@ -87,12 +90,22 @@ class Bins:
         self.used.append(0)
         return self._place(len(self.used) - 1, self.capacity, 0, length, source, cluster)
 
+    def _count(self, residual: int, mask: int, clusters: int, by: int) -> None:
+        held = self.carried[residual]
+        while clusters:
+            one = clusters & -clusters
+            clusters ^= one
+            held[mask, one] = n = held.get((mask, one), 0) + by
+            if not n:
+                del held[mask, one]
+
     def _place(self, chosen: int, residual: int, mask: int, length: int, source: int, cluster: int) -> tuple[int, int]:
         start = self.used[chosen]
         self.used[chosen] += length
         self.clusters[chosen] |= cluster
         if residual > length:  # full bins are closed
             self.at[residual - length].setdefault(mask | source, []).append(chosen)
+            self._count(residual - length, mask | source, self.clusters[chosen], 1)
             self._update(residual - length)
         return chosen, start
 
@@ -103,43 +116,56 @@ def pack_shard(ids: list, lengths: list[int], sources: list, clusters: list, cap
     # Only clusters with more than one piece in this shard can conflict.
     pieces = [(min(capacity, n - k * capacity), i, k) for i, n in enumerate(lengths) for k in range(max(1, -(-n // capacity)))]
     held: dict = {}
+    # a document without a cluster is one by itself
+    own = [("", i) if c is None else (c,) for i, c in enumerate(clusters)]
     for _, i, _ in pieces:
-        held[clusters[i]] = held.get(clusters[i], 0) + 1
-    cluster_bit = {c: 1 << k for k, c in enumerate(sorted(c for c, n in held.items() if n > 1))}
+        held[own[i]] = held.get(own[i], 0) + 1
+    cluster_bit = {c: 1 << k for k, c in enumerate(c for c, n in held.items() if n > 1)}
     bins = Bins(capacity)
-    order = sorted(pieces, key=lambda p: (-p[0], ids[p[1]] is None, ids[p[1]] or 0, p[2]))
+    order = sorted(pieces, key=lambda p: (-p[0], ids[p[1]] is None, ids[p[1]] or 0, p[2], sources[p[1]] or ""))
     for length, i, k in order:
-        yield i, k, length, *bins.put(length, source_bit.get(sources[i], 0), cluster_bit.get(clusters[i], 0))
+        yield i, k, length, *bins.put(length, source_bit.get(sources[i], 0), cluster_bit.get(own[i], 0))
 
 
-def measured(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    """doc_id, source, words of the whole text, and the cluster of documents with the same words (ASCII case aside)."""
+def measured(docs: DataFrame, text: str, key: str, source: str, cluster: str | None) -> DataFrame:
+    """doc_id, source, words of the whole text, the document's cluster, and turn: how many equal (doc_id, cluster) the
+    task has met before. Without a column of clusters, documents with the same words (ASCII case aside) are one."""
     import xxhash
 
     def make():
-        def work(keys: pa.Array, texts: pa.Array, sources: pa.Array) -> dict:
+        met: dict[tuple, int] = {}
+
+        def turn(pair: tuple) -> int:
+            met[pair] = met.get(pair, -1) + 1
+            return met[pair]
+
+        def work(keys: pa.Array, texts: pa.Array, sources: pa.Array, given: pa.Array) -> dict:
             words = [x.lower().split() for x in as_bytes(texts)]
-            return {"doc_id": keys, "source": sources, "words": [len(w) for w in words], "cluster": [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for w in words]}
+            own = given.to_pylist() if cluster else [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for w in words]
+            return {"doc_id": keys, "source": sources, "words": [len(w) for w in words], "cluster": own, "turn": [turn(p) for p in zip(keys.to_pylist(), own, strict=True)]}
 
         return work
 
-    return map_columns(docs.withColumn(source, F.col(source).cast("string")), [key, text, source], "doc_id long, source string, words long, cluster long", make)
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"), (F.col(cluster) if cluster else F.lit(None)).cast("long").alias("cluster"))
+    return map_columns(named, ["doc_id", "text", "source", "cluster"], "doc_id long, source string, words long, cluster long, turn long", make)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
     """(doc_id, piece, n_words, bin_id, start, bin_words) for every piece of every document.
 
     Words are runs without ASCII white space. A null or wordless text is one piece of length 0. A null source
-    conflicts with nothing; pieces of one document never share a bin (they share a cluster). bin_id is
-    "<shard>-<bin>"; bin_words is what the bin holds. Repeated rows are packed apart, being each other's duplicates;
-    other columns are ignored; an empty table gives no rows.
+    conflicts with nothing. cluster names a column of longs, such as near-duplicate components; without it documents of
+    the same words are one. A document's own pieces never share a bin; a null cluster keeps nothing else apart. bin_id
+    is "<shard>-<bin>"; bin_words is what the bin holds. Repeated rows are packed apart, being each other's duplicates;
+    of one row that stands in T of the table's partitions, T copies can meet in a shard. Other columns are ignored; an
+    empty table gives no rows.
     """
-    rows = cut(measured(docs, text, key, source))
+    rows = cut(measured(docs, text, key, source, cluster).withColumn("part", F.spark_partition_id()))
     shards = -(-max(1, rows.count()) // SHARD)
     schema = "doc_id long, piece long, n_words long, bin_id string, start long, bin_words long"
 
     def run(shard: pa.Table) -> pa.Table:
-        ids, sources, words, clusters, number = (c.to_pylist() for c in shard.columns)
+        ids, sources, words, clusters, number = (shard.column(c).to_pylist() for c in ("doc_id", "source", "words", "cluster", "shard"))
         out = list(pack_shard(ids, words, sources, clusters, capacity))
         fill: dict[int, int] = {}
         for _, _, length, chosen, _ in out:
@@ -148,5 +174,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", key: str
         kinds = [pa.string() if k == 3 else pa.int64() for k in range(6)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "n_words", "bin_id", "start", "bin_words"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    # rows that a task meets again go wherever their number sends them; a row met once goes by itself alone
+    again = F.when(F.col("turn") > 0, F.xxhash64("turn", "part")).otherwise(F.lit(0).cast("long"))
+    dealt = rows.select("doc_id", "source", "words", "cluster", F.pmod(F.xxhash64("doc_id", "cluster").bitwiseXOR(again), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, schema)

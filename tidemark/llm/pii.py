@@ -8,7 +8,9 @@ estimates each labeler's reliability, and its posteriors train the final span cl
 kind, votes and shape, which decides on each candidate. Base spans are kept whatever it says.
 
 Patterns use possessive loops and start only where a run starts, so that one attempt is made per run: no text makes
-them take more than linear time, and none makes them recurse.
+them take more than linear time, and none makes them recurse. A text is cut at its matches once per kind; places are
+running sums of the parts' lengths, taken over short stretches and then over these, since an accumulator that grows is
+copied at every step. So the number of matches may be large too.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, fresh, new_folder
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("person", "secret", "ssn", "iban", "local_phone", "obfuscated_email")
@@ -54,10 +56,44 @@ REGEX = {
     "obfuscated_email": (r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|io|de|fr|es|uk)$", r"^[0-9]+"),
     "person": (r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}+$", r"\x20\p{Lu}\p{Ll}$"),
 }
+FIRST_NAMES = """Adam Aisha Alan Albert Alejandro Alexander Alice Amanda Amelia Amy Ana Andrea Andrew Angela Anna Anne Anthony Antoine
+Antonio Barbara Benjamin Bernd Brian Bruno Camille Carlos Carmen Carol Caroline Catherine Charles Charlotte Chloe Christian Christine
+Claire Claudia Daniel David Deborah Diego Dieter Dirk Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Fatima Fernando Francisco
+Frank Gabriel George Hannah Hans Heike Helen Helga Henry Ines Ingrid Isabel Jack Jacques James Jane Javier Jean Jennifer Jessica Joan Johann
+John Jonas Jorge Joseph José Juan Julia Julie Julien Jürgen Karen Karl Katherine Kevin Klaus Laura Lena Linda Lisa Louis Lucas Lucía Luis
+Manuel Marcel María Margaret Maria Marie Mark Marta Martin Mary Matthew Max Michael Michel Miguel Monika Nancy Nathalie Nicolas Nicole Oliver Olivia
+Otto Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Rachel Rafael Ralf Richard Robert Rosa Ruth Sandra Sarah Sofia Sophie Stefan Stephen
+Susan Sylvie Teresa Thomas Uwe Victor Walter William Wolfgang Yves""".split()
+SURNAMES = """Adams Allen Alonso Álvarez Anderson Andersen Baker Bauer Becker Bell Bernard Bertrand Bonnet Braun Brown Campbell Carter Castro Clark Collins
+Cook Cooper Cruz Davis Delgado Díaz Dubois Dupont Durand Edwards Evans Fernández Fischer Fontaine Fournier Garcia García Gómez González Gray
+Green Gutiérrez Hall Harris Hartmann Hernández Hill Hoffmann Hughes Jackson Jiménez Johnson Jones Kelly Khan King Klein Koch Köhler König Krause
+Krüger Lambert Lange Laurent Lee Lefebvre Lehmann Leroy Lewis López Maier Martin Martínez Mayer Meyer Miller Mitchell Moore Morales Moreau Morel Moreno
+Morgan Morris Müller Muñoz Murphy Navarro Nelson Neumann Ortiz Parker Patel Pérez Petit Phillips Ramírez Ramos Richter Rivera Robert Roberts Robinson
+Rodríguez Rogers Romero Rousseau Roux Ruiz Sánchez Schäfer Schmidt Schmitt Schneider Scholz Schröder Schulz Schwarz Scott Silva Simon Smith
+Stewart Suárez Taylor Thomas Thompson Torres Turner Vargas Vázquez Vincent Wagner Walker Ward Watson Weber Werner White Williams Wilson Wolf Wood Wright
+Young Zimmermann""".split()
+#: Total lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+#: Beginnings that issuers give their keys.
+KEY_HEADS = "sk_live_ sk_test_ sk- pk_live_ pk_test_ rk_live_ ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxb- xoxp- xoxa- xoxs- AKIA ASIA AIza ya29 eyJ npm_ pypi- hf_ dop_v1_ shpat_ sq0csp- whsec_ AC00 key- SG".split()
+PROVIDERS = "gmail googlemail yahoo outlook hotmail live icloud aol gmx web proton protonmail mail yandex zoho fastmail orange wanadoo free laposte telefonica example company university school bank".split()
+AREA_CODES = """201 202 203 205 206 207 208 209 210 212 213 214 215 216 217 218 219 224 225 228 229 231 234 239 240 248 251 252 253 254 256 260 262 267 269 270
+281 301 302 303 304 305 307 308 309 310 312 313 314 315 316 317 318 319 320 321 323 330 334 336 337 347 351 352 360 361 386 401 402 404 405 406 407 408 409 410
+412 413 414 415 417 419 423 424 425 432 434 440 443 469 478 479 480 484 501 502 503 504 505 507 508 509 510 512 513 515 516 517 518 520 530 540 541 551 559 561""".split()
+
+
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
 GAZETTEER = {
-    "secret": r"(?i)^(?:sk|pk|ghp|akia|xox)", "ssn": r"^(?!078-05-1120|219-09-9999|123-45-6789)", "iban": r"^(?:DE|FR|GB|ES|NL|IT)", "local_phone": r"555[\x20.-]?[0-9]{4}$",
-    "obfuscated_email": r"(?i)(?:gmail|yahoo|outlook|hotmail|example|mail)",
-    "person": r"(?:James|John|Mary|Anna|Robert|Michael|Linda|David|Maria|Peter|Thomas|Hans|Pierre|Jean|Marie|José|Juan|Carlos|Luis|Smith|Jones|Müller|Schmidt|Martin|García|Dupont)",
+    "secret": rf"^{_any(KEY_HEADS)}", "ssn": r"^(?!078-05-1120|219-09-9999|123-45-6789)",
+    "iban": "^(?:" + "|".join(rf"{land}(?:\x20?[A-Z0-9]){{{n - 2}}}$" for land, n in IBAN_LENGTHS.items()) + ")",
+    "local_phone": rf"^\(?{_any(AREA_CODES)}", "obfuscated_email": rf"(?i)[\])]\x20?{_any(PROVIDERS)}(?![A-Za-z0-9])",
+    "person": rf"\x20(?:{_any(FIRST_NAMES)}|{_any(SURNAMES)})(?!\p{{L}})",
 }
 LEFT = {
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api.?key|access.?key|auth|bearer|credential|private.?key)\P{L}{0,8}$",
@@ -79,29 +115,6 @@ LABELERS = ("regex", "gazetteer", "left", "against", "right")
 CONTEXT = 48
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start, stop, m>> of a kind's pattern, code points, end exclusive; empty for a text without it."""
-    rx = F.lit(PATTERNS[kind])
-    none = F.expr("CAST(array() AS array<struct<start:int,stop:int,m:string>>)")
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.char_length(x))
-    # pairs of a gap and the match behind it; the last gap has none
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), F.char_length(m).alias("n"), m.alias("m")))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.struct((start + x["n"]).alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), (start + x["n"]).alias("stop"), x["m"].alias("m"))).alias("out"))
-
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    if kind in NEEDS:
-        gate = F.lit(False)
-        for word in NEEDS[kind]:
-            gate = gate | F.contains(text, F.lit(word))
-    else:
-        gate = text.rlike("[0-9]|AKIA" if kind == "secret" else "[0-9]")
-    return F.when(gate & text.rlike(PATTERNS[kind]), spans).otherwise(none)
-
-
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -113,115 +126,198 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, s: Column) -> Column:
+def _votes(kind: str, m: Column, left: Column, right: Column) -> Column:
     """Votes of LABELERS as a string of +, 0 and -."""
-    first = F.greatest(F.lit(0), s["start"] - CONTEXT)
-    left = F.substring(text, first + 1, s["start"] - first)
-    right = F.substring(text, s["stop"] + 1, F.lit(12))
     yes, no = REGEX[kind]
 
     def vote(up: Column, down: Column | None = None) -> Column:
         out = F.when(up, "+")
         return (out.when(down, "-") if down is not None else out).otherwise("0")
 
-    return F.concat(vote(s["m"].rlike(yes) & ~s["m"].rlike(no), s["m"].rlike(no)), vote(s["m"].rlike(GAZETTEER[kind])), vote(left.rlike(LEFT[kind])), F.when(left.rlike(AGAINST[kind]), "-").otherwise("0"), vote(right.rlike(RIGHT[kind])))
+    return F.concat(vote(m.rlike(yes) & ~m.rlike(no), m.rlike(no)), vote(m.rlike(GAZETTEER[kind])), vote(left.rlike(LEFT[kind])), F.when(left.rlike(AGAINST[kind]), "-").otherwise("0"), vote(right.rlike(RIGHT[kind])))
 
 
-def _shape(s: Column) -> Column:
+def _shape(m: Column) -> Column:
     """Length and share of digits, coarsely: at most 6 * 5 values."""
-    n = F.char_length(s["m"])
-    digits = F.floor(4 * F.char_length(F.regexp_replace(s["m"], "[^0-9]", "")) / n)
+    n = F.char_length(m)
+    digits = F.floor(4 * F.char_length(F.regexp_replace(m, "[^0-9]", "")) / n)
     return F.concat_ws("/", F.least(F.lit(5), F.floor(n / 8)).cast("string"), digits.cast("string"))
 
 
-def _base(text: Column, k: int, kind: str) -> Column:
-    kept = F.filter(_matches(text, kind), lambda s: _valid(kind, s["m"]))
-    return F.transform(kept, lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["stop"].alias("stop")))
+#: What is found: natural order is by start, then kind as listed. Base spans have no votes and no shape.
+SPAN = "struct<start:int,k:int,stop:int,votes:string,shape:string>"
+#: Items of a stretch: running sums copy what they have so far at every step.
+STRETCH = 64
 
 
-def _extra(text: Column, k: int, kind: str) -> Column:
-    return F.transform(_matches(text, kind), lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["stop"].alias("stop"), _votes(kind, text, s).alias("votes"), _shape(s).alias("shape")))
+def _let(value: Column, body) -> Column:
+    """body(value), the value being worked out once: an expression named in an inner function is else run every time."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _count(k: int, kind: str) -> Column:
-    return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}")
+def _running(values: Column, op) -> Column:
+    """array<int> -> what op makes of the values before each place and, last, of all of them (0 before the first). op is
+    associative. A stretch copies at most STRETCH numbers a step, the second level one number per stretch."""
 
+    def few(own: Column) -> Column:
+        return F.aggregate(own, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base`, array<struct<k, start, stop>>, and `extra`, array<struct<k, start, stop, votes, shape>>;
-    k is a kind's place in KINDS. Candidates that lie inside a base span are left out."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base, extra = [], []
-    for k, kind in enumerate(KINDS):
-        (base if kind in BASE else extra).append(_base(t, k, kind) if kind in BASE else _extra(t, k, kind))
-    out = docs.withColumn("base", F.array_sort(F.concat(*base), _order)).withColumn("extra", F.concat(*extra))
-    free = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"])))
-    return out.withColumn("extra", F.when(F.size("extra") > 0, free).otherwise(F.col("extra")))
+    def joined(parts: Column, before: Column) -> Column:
+        moved = F.transform(parts, lambda p, j: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: op(F.get(before, j), v)))
+        return F.array_append(F.flatten(moved), F.element_at(before, -1))
 
+    def whole(own: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(STRETCH))
+        return _let(F.transform(first, lambda i: few(F.slice(own, i, STRETCH))), lambda parts: _let(few(F.transform(parts, lambda p: F.element_at(p, -1))), lambda before: joined(parts, before)))
 
-def _order(a: Column, b: Column) -> Column:
-    """By start, then kind as listed."""
-    return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["k"] - b["k"])
+    return _let(values, whole)
 
 
-def learn(found: DataFrame, rounds: int = 40) -> dict[str, float]:
-    """Weights of the span classifier's features (with "bias"), from candidates()' rows.
+def _spans(text: Column, k: int, kind: str) -> Column:
+    """array<SPAN> of a kind's matches that pass its test, code points, end exclusive; empty for a text without any.
 
-    All arithmetic is over the counts of vote patterns and shapes, at most 6 * 3^5 * 30 rows for any input."""
-    rows = found.where(F.size("extra") > 0).select(F.explode("extra").alias("x")).groupBy("x.k", "x.votes", "x.shape").count().collect()
-    votes: dict[tuple[int, str], float] = defaultdict(float)
-    for r in rows:
-        votes[r["k"], r["votes"]] += r["count"]
-    # Dawid-Skene: prior of each kind; for each labeler the probability of each vote given the truth.
-    prior = {k: 0.5 for k in range(len(KINDS))}
-    says = [{True: {"+": 0.6, "0": 0.35, "-": 0.05}, False: {"+": 0.1, "0": 0.6, "-": 0.3}} for _ in LABELERS]
+    A candidate's context is what stands before and behind it, back over two matches of its kind at most and on to the
+    next one."""
+    # gaps and the match behind each; null behind the last
+    pairs = F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+
+    def said(own: Column, i: Column) -> Column:
+        return F.coalesce(F.concat(F.get(own, i)["g"], F.get(own, i)["m"]), F.lit(""))
+
+    def items(own: Column, at: Column) -> Column:
+        def item(x: Column, i: Column) -> Column:
+            start = F.get(at, i) + F.char_length(x["g"])
+            left = F.right(F.concat(said(own, i - 2), said(own, i - 1), x["g"]), F.lit(CONTEXT))
+            votes = F.lit(None) if kind in BASE else _votes(kind, x["m"], left, F.substring(F.get(own, i + 1)["g"], 1, 12))
+            shape = F.lit(None) if kind in BASE else _shape(x["m"])
+            made = F.struct(start.alias("start"), F.lit(k).alias("k"), (start + F.char_length(x["m"])).alias("stop"), votes.cast("string").alias("votes"), shape.cast("string").alias("shape"))
+            return F.when(x["m"].isNotNull() & _valid(kind, x["m"]), made)
+
+        return F.filter(F.transform(own, item), lambda x: x.isNotNull())
+
+    def found(own: Column) -> Column:
+        lengths = F.transform(own, lambda x: F.char_length(x["g"]) + F.coalesce(F.char_length(x["m"]), F.lit(0)))
+        return _let(_running(lengths, lambda a, b: a + b), lambda at: items(own, at))
+
+    if kind in NEEDS:
+        gate = F.lit(False)
+        for word in NEEDS[kind]:
+            gate = gate | F.contains(text, F.lit(word))
+    else:
+        gate = text.rlike("[0-9]|AKIA" if kind == "secret" else "[0-9]")
+    return F.when(gate & text.rlike(PATTERNS[kind]), _let(pairs, found).cast(f"array<{SPAN}>")).otherwise(F.expr(f"CAST(array() AS array<{SPAN}>)"))
+
+
+def _free(spans: Column) -> Column:
+    """Sorted spans without the candidates that lie inside a base span: such a base span stands before them, and the
+    farthest end of those before tells."""
+    ends = lambda own: _running(F.transform(own, lambda x: F.when(x["k"] < len(BASE), x["stop"]).otherwise(F.lit(0))), F.greatest)
+    kept = lambda own, end: F.filter(own, lambda x, i: (x["k"] < len(BASE)) | (F.get(end, i) < x["stop"]))
+    return _let(spans, lambda own: _let(ends(own), lambda end: kept(own, end)))
+
+
+def candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with column `out`: base spans and candidates of every text, array<SPAN>, sorted; k is a kind's place in KINDS.
+    Candidates that lie inside a base span are left out."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    found = F.sort_array(F.concat(*(_spans(t, k, kind) for k, kind in enumerate(KINDS))))
+    some = lambda own: F.when(F.exists(own, lambda x: x["k"] >= len(BASE)), _free(own)).otherwise(own)
+    return docs.withColumn(out, _let(found, some))
+
+
+#: First guess of the probability of each vote, given that a candidate is personal data or is not; it counts as much as
+#: GUESS candidates, whatever the corpus.
+FIRST = {True: {"+": 0.6, "0": 0.35, "-": 0.05}, False: {"+": 0.1, "0": 0.6, "-": 0.3}}
+GUESS = 20.0
+#: Every labeler is taken to be better than chance: a vote is so many times as likely where it is right as where it is
+#: wrong, at least. Without this the two classes could come to stand for two sorts of true candidates.
+BETTER = 1.5
+
+
+def _better(says: dict[bool, dict[str, float]]) -> dict[bool, dict[str, float]]:
+    """Vote probabilities with both votes held better than chance; what is taken from a vote goes to abstaining."""
+    out = {side: dict(p) for side, p in says.items()}
+    for v, right in (("+", True), ("-", False)):
+        p, q = out[right][v], out[not right][v]
+        if p < BETTER * q:
+            mean = math.sqrt(p * q)
+            for side, x in ((right, mean * math.sqrt(BETTER)), (not right, mean / math.sqrt(BETTER))):
+                out[side]["0"] = max(1e-3, out[side]["0"] + out[side][v] - x)
+                out[side][v] = x
+    return {side: {v: x / sum(p.values()) for v, x in p.items()} for side, p in out.items()}
+
+
+def estimate(votes: dict[tuple[int, str], float], rounds: int = 60) -> tuple[dict[tuple[int, str], float], list]:
+    """Dawid and Skene's expectation-maximisation over counts of (kind, votes): the probability that each is personal
+    data, and of each labeler the probability of each vote given the truth. Each kind has a share of its own."""
+    prior = {k: 0.5 for k, _ in votes}
+    says = [FIRST] * len(LABELERS)
     truth: dict[tuple[int, str], float] = {}
-    # The first guess counts as much as half the rows: where a corpus holds hardly any false candidates, the two classes
-    # would else come to stand for two sorts of true ones.
-    weight = max(10.0, 0.5 * sum(votes.values()))
     for _ in range(rounds):
         for k, pattern in votes:
-            yes, no = math.log(prior[k]), math.log(1 - prior[k])
-            for j, v in enumerate(pattern):
-                yes += math.log(says[j][True][v])
-                no += math.log(says[j][False][v])
-            truth[k, pattern] = 1 / (1 + math.exp(min(500, no - yes)))
+            odds = math.log(prior[k]) - math.log(1 - prior[k]) + sum(math.log(says[j][True][v]) - math.log(says[j][False][v]) for j, v in enumerate(pattern))
+            truth[k, pattern] = 1 / (1 + math.exp(max(-500, min(500, -odds))))
         for k in prior:
             mine = [(n, truth[q]) for q, n in votes.items() if q[0] == k]
-            prior[k] = (0.5 * weight + sum(n * p for n, p in mine)) / (weight + sum(n for n, _ in mine))
+            prior[k] = (0.5 * GUESS + sum(n * p for n, p in mine)) / (GUESS + sum(n for n, _ in mine))
+        says = []
         for j in range(len(LABELERS)):
-            for side, start in ((True, {"+": 0.6, "0": 0.35, "-": 0.05}), (False, {"+": 0.1, "0": 0.6, "-": 0.3})):
-                total = {v: weight * x for v, x in start.items()}
+            own = {}
+            for side in (True, False):
+                total = {v: GUESS * x for v, x in FIRST[side].items()}
                 for q, n in votes.items():
                     total[q[1][j]] += n * (truth[q] if side else 1 - truth[q])
-                says[j][side] = {v: x / sum(total.values()) for v, x in total.items()}
-    # The final classifier: naive Bayes on soft labels, over the votes, the kind and the shape.
+                own[side] = {v: x / sum(total.values()) for v, x in total.items()}
+            says.append(_better(own))
+    return truth, says
+
+
+def learn(found: DataFrame, spans: str) -> dict[str, float]:
+    """Weights of the span classifier's features (with "bias"), from the rows of candidates().
+
+    All arithmetic is over the counts of vote patterns and shapes, at most 6 * 3^5 * 30 rows for any input."""
+    extra = F.filter(spans, lambda x: x["k"] >= len(BASE))
+    rows = found.select(F.explode(extra).alias("x")).groupBy("x.k", "x.votes", "x.shape").count().collect()
+    return classifier([(r["k"], r["votes"], r["shape"], r["count"]) for r in rows])
+
+
+def classifier(rows: list[tuple[int, str, str, float]]) -> dict[str, float]:
+    """Naive Bayes over kind, votes and shape, trained on the estimated truth of counted (kind, votes, shape)."""
+    votes: dict[tuple[int, str], float] = defaultdict(float)
+    for k, pattern, _, n in rows:
+        votes[k, pattern] += n
+    truth, _ = estimate(votes)
     mass = {True: defaultdict(float), False: defaultdict(float)}
     size = {True: 1.0, False: 1.0}
-    for r in rows:
-        p = truth[r["k"], r["votes"]]
+    for k, pattern, shape, n in rows:
+        p = truth[k, pattern]
         for side, share in ((True, p), (False, 1 - p)):
-            size[side] += r["count"] * share
-            for f in (f"k{r['k']}", f"s{r['shape']}", *(f"{j}{v}" for j, v in enumerate(r["votes"]))):
-                mass[side][f] += r["count"] * share
-    features = {*mass[True], *mass[False]}
+            size[side] += n * share
+            for f in features(k, pattern, shape):
+                mass[side][f] += n * share
+    seen = sorted({*mass[True], *mass[False]})
     ratio = lambda f: math.log((mass[True][f] + 0.5) / (size[True] + 1)) - math.log((mass[False][f] + 0.5) / (size[False] + 1))
-    return {f: ratio(f) for f in sorted(features)} | {"bias": math.log(size[True] / size[False])}
+    return {f: ratio(f) for f in seen} | {"bias": math.log(size[True] / size[False])}
+
+
+def features(k: int, votes: str, shape: str) -> list[str]:
+    """Names of a candidate's features: its kind, its shape among those of its kind, and each labeler's vote."""
+    return [f"k{k}", f"s{k}/{shape}", *(f"{j}{v}" for j, v in enumerate(votes))]
 
 
-def accepted(weights: dict[str, float]) -> Column:
-    """Those of `extra` that the classifier takes for personal data."""
+def accepted(spans: str, weights: dict[str, float]) -> Column:
+    """The base spans, and those candidates that the classifier takes for personal data."""
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     get = lambda f: F.coalesce(F.element_at(table, f), F.lit(0.0))
 
     def score(x: Column) -> Column:
-        out = F.lit(weights["bias"]) + get(F.concat(F.lit("k"), x["k"].cast("string"))) + get(F.concat(F.lit("s"), x["shape"]))
+        kind = x["k"].cast("string")
+        out = F.lit(weights["bias"]) + get(F.concat(F.lit("k"), kind)) + get(F.concat(F.lit("s"), kind, F.lit("/"), x["shape"]))
         for j in range(len(LABELERS)):
             out = out + get(F.concat(F.lit(str(j)), F.substring(x["votes"], j + 1, 1)))
         return out
 
-    # a candidate for which nothing speaks is never taken
-    return F.filter("extra", lambda x: x["votes"].contains("+") & (score(x) > 0))
+    return F.filter(spans, lambda x: (x["k"] < len(BASE)) | F.coalesce(score(x) > 0, F.lit(False)))
 
 
 def _joined(spans: Column) -> Column:
@@ -229,9 +325,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _all(weights: dict[str, float]) -> Column:
-    added = F.transform(accepted(weights), lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return F.array_sort(F.concat("base", added), _order)
+def _count(k: int, kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}")
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -244,26 +339,49 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     text is empty: zeros, the digest of nothing, no spans. Repeated rows and null ids stay; other columns are ignored;
     an empty table gives no rows.
     """
-    own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(candidates(own).select("doc_id", "base", "extra"))
-    weights = learn(found)
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    found = cut(candidates(own, "text", "found").select("doc_id", "found"))
+    base = F.filter("found", lambda s: s["k"] < len(BASE))
     counts = [_count(k, kind) for k, kind in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(_all(weights)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(accepted("found", learn(found, "found"))).alias("spans"))
+
+
+#: Code points of the blocks that a text is cut into before parts of it are taken: finding a place in a UTF-8 string takes
+#: time in proportion to the place.
+BLOCK = 4096
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span in `text` replaced by its kind in brackets; overlapping spans count as one, of the first
-    one's kind. Null texts and texts without spans stay as they are."""
+    one's kind. Null texts and texts without spans stay as they are, as do all other columns, whatever their names, null
+    ids and repeated rows; an empty table gives no rows. Rows and spans are written to the shared folder once: the
+    classifier is learned from all of them before the first text is changed."""
+    spark = docs.sparkSession
+    (spans,) = fresh(docs.columns, "spans")
+    folder = new_folder(spark, "spans")
+    candidates(docs, text, spans).write.parquet(folder)
+    found = spark.read.parquet(folder)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    t = F.col(text)
-    weights = learn(candidates(docs.select(text), text).select("extra"))
-    spans = F.col("_all")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["k"] + 1))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t)))
-    cleaned = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    out = candidates(docs, text).withColumn("_all", _all(weights))
-    return out.withColumn(text, F.when(F.size("_all") > 0, cleaned).otherwise(t)).select(*docs.columns)
+    t = F.col(text).cast("string")
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points [a, b) of the text, from its blocks."""
+
+        def part(block: Column, j: Column) -> Column:
+            before = (F.floor(a / BLOCK).cast("int") + j) * BLOCK
+            low = F.greatest(a - before, F.lit(0))
+            return F.substring(block, low + 1, F.least(b - before, F.lit(BLOCK)) - low)
+
+        first = F.floor(a / BLOCK).cast("int")
+        return F.array_join(F.transform(F.slice(blocks, first + 1, F.floor(b / BLOCK).cast("int") - first + 1), part), "")
+
+    def replaced(own: Column, end: Column, blocks: Column) -> Column:
+        """end: the farthest end of the spans before each, and of all."""
+        parts = F.transform(own, lambda s, i: F.when(s["start"] >= F.get(end, i), F.concat(between(blocks, F.get(end, i), s["start"]), F.element_at(names, s["k"] + 1))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), between(blocks, F.element_at(end, -1), F.size(blocks) * BLOCK))
+
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = lambda own: _running(F.transform(own, lambda s: s["stop"]), F.greatest)
+    cleaned = lambda own: _let(ends(own), lambda end: _let(blocks, lambda cut_up: replaced(own, end, cut_up)))
+    taken = accepted(spans, learn(found.select(spans), spans))
+    return found.withColumn(text, _let(taken, lambda own: F.when(F.size(own) > 0, cleaned(own)).otherwise(t))).select(*docs.columns)

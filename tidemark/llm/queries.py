@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, embed_dedup, langid, licenses, packing, pii, simhash, token_counts, warc
 from tidemark.llm.common import table
@@ -60,7 +61,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_embedding_dedup, op4_ann, op5_language, op6_simhash, op7_bpe, op8_token_counts, op9_packing, op10_licenses, pipeline)}
+# --- what SQL can tell of operators that it cannot express as a whole -----------------------------------------------
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op1_pii."""
+    return op1_pii(spark, sf_dir).drop("spans")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10_licenses."""
+    return op10_licenses(spark, sf_dir).drop("labels", "score")
+
+
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document what op9_packing packed, and how many faults its bins have: too full, two pieces of one source,
+    two pieces of one document, overlapping pieces, a wrong sum of words."""
+    plan = op9_packing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    bins = plan.groupBy("bin_id").agg(F.sum("n_words").alias("words"), F.max("bin_words").alias("said"), F.count("source").alias("n"), F.countDistinct("source").alias("sources"), F.count("*").alias("pieces"), F.countDistinct("doc_id").alias("docs"), F.max(F.col("start") + F.col("n_words")).alias("last"))
+    wrong = bins.select("bin_id", sum(c.cast("int") for c in (F.col("words") > packing.CAPACITY, F.col("words") != F.col("said"), F.col("last") != F.col("words"), F.col("n") != F.col("sources"), F.col("pieces") != F.col("docs"))).alias("wrong"))
+    return plan.join(wrong, "bin_id").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("pieces"), F.sum("wrong").alias("faults"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_warc, op3_embedding_dedup, op4_ann, op5_language, op6_simhash, op7_bpe, op8_token_counts, op9_packing, op10_licenses, pipeline, pii_base, license_base, packing_totals)}
+
+def _kind(name: str, pattern: str, test: str) -> str:
+    """Matches of a pattern with their places: the parts between them and their own lengths add up. Gaps are cut at
+    a zero character put in place of each match; texts hold none."""
+    return f"""SELECT doc_id, '{name}' AS kind, m, start, start + length(m) AS stop FROM (
+        SELECT doc_id, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS start FROM (
+          SELECT doc_id, unnest(ms) AS m, unnest(gs[1 : len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (
+            SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split(regexp_replace(t, '{pattern}', chr(1), 'g'), chr(1)) AS gs FROM d))) WHERE {test}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN {_DIGITS}[-1 - i]::INT ELSE 2 * {_DIGITS}[-1 - i]::INT - CASE WHEN {_DIGITS}[-1 - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_SPANS = {
+    "email": _kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": _kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255"),
+    "card": _kind("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": _kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+_PHRASES = {phrase.replace(" ", "', '"): label for phrase, label in licenses.PHRASES.items()}
 
 ORACLE = {
     # SHA-1 in base32: 32 groups of five bits of the digest's 160.
@@ -85,4 +127,21 @@ ORACLE = {
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
         FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n ON n.a = e.vec_id
     """,
+    "pii_base": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(_SPANS.values())}),
+        o AS (SELECT *, kind || ':' || start || ':' || stop AS said, list_position(['email', 'ip', 'card', 'phone'], kind) AS k FROM s)
+        SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+               sha256(coalesce(string_agg(said, ',' ORDER BY start, k), '')) AS base_sha256
+        FROM d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id
+    """,
+    "license_base": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        p AS ({" UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + {phrase.count(',') + 1}] = ['{phrase}'])) AS pos, '{label}' AS label FROM w" for phrase, label in _PHRASES.items())}),
+        a AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id)
+        SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN a USING (doc_id)
+    """,
+    "packing_totals": f"""
+        WITH n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_words FROM documents)
+        SELECT doc_id, n_words, greatest(1, ceil(n_words / {packing.CAPACITY}.0))::BIGINT AS pieces, 0::BIGINT AS faults FROM n
+    """,
 }

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import as_bytes, cut, map_columns, partitions
+from tidemark.llm.common import as_bytes, cut, fresh, map_columns, partitions, slices
 from tidemark.llm.components import connected_components
 
 BITS = 3  # most differing bits of a link
@@ -52,15 +53,19 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id long, fp long) of every whole text; null counts as empty."""
+    """(doc_id long, fp long, content long) of every whole text; null counts as empty. content is a hash of the text."""
 
     def make():
+        import xxhash
+
         def work(keys: pa.Array, texts: pa.Array) -> dict:
-            return {"doc_id": keys.cast(pa.int64()), "fp": np.array([fingerprint(x) for x in as_bytes(texts)], np.uint64).view(np.int64)}
+            own = as_bytes(texts)
+            prints, contents = ([f(x) for x in own] for f in (fingerprint, xxhash.xxh3_64_intdigest))
+            return {"doc_id": keys.cast(pa.int64()), "fp": np.array(prints, np.uint64).view(np.int64), "content": np.array(contents, np.uint64).view(np.int64)}
 
         return work
 
-    return map_columns(docs, [key, text], "doc_id long, fp long", make)
+    return map_columns(docs, [key, text], "doc_id long, fp long, content long", make)
 
 
 def pivots() -> np.ndarray:
@@ -163,6 +168,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
 
 
+def grouped(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, fp, content, component): component is a fingerprint of the row's group."""
+    found = cut(fingerprints(docs, text, key))
+    parts = connected_components(links(found.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
+    return found.join(parts, "fp", "left").select("doc_id", "fp", "content", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) of every row of docs.
 
@@ -170,10 +182,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     like any other. Rows with a null doc_id keep their fingerprint and get the least id of their component (null if it
     has none). Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    found = cut(fingerprints(docs, text, key))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(links(nodes.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    nodes = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = nodes.join(smallest, "component").select("fp", "component_id")
-    return found.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = grouped(docs, text, key)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns as they are, that stand for their groups: of each component the row of the least
+    doc_id (nulls last; of rows that share it that of the least hash of its text; of rows that share the text too any
+    one). Null and wordless texts are a group, and what links to them. An empty table gives no rows.
+
+    Rows of equal id and text are reduced to one by each task before they are shuffled, once, for both steps."""
+    first = grouped(docs, text, key).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("r"))
+    own, content = fresh(docs.columns, "own", "content")
+    # the same hash as fingerprints() takes, of the same bytes, row by row beside the other columns
+    at = docs.columns.index(text)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches):
+            said = np.array([xxhash.xxh3_64_intdigest(x) for x in as_bytes(batch.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said)], names=[*batch.schema.names, content])
+
+    rows = docs.mapInArrow(marked, StructType([*docs.schema.fields, StructField(content, LongType())]))
+    # a null id is told from others by a mark, as keys of a join are never null
+    rows = rows.withColumn(own, F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id")))
+    rows = rows.dropDuplicates([own, content])
+    wanted = first.select(F.struct("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id")).alias(own), F.col("r.content").alias(content))
+    return rows.join(wanted, [own, content], "left_semi").select(*docs.columns)

@@ -1,32 +1,42 @@
 """Deterministic sharded WARC writer and reader (operator 2).
 
 A first pass takes digests and sizes only. From it come the revisits (all but the largest page_id of equal payloads)
-and the shard limits: ranges of page_id that hold about SHARD bytes of payload each. A second pass sends each record
-once to its shard; a revisit's mark travels as a small row of its own that sorts just before its page. A task writes
-a shard in order of page_id, each record as a gzip member of its own with regenerated headers and digests, and begins
-a new file when the compressed size reaches ROLL. Files are written under temporary names that are unique to the
-attempt; the manifest lists the names that successful attempts returned, and only those are renamed, so a lost
-executor or a second attempt leaves no trace. Contents and names depend on the rows alone.
+and the shard limits: ranges of page_id that hold about as many bytes each, found by counting bytes in equal parts of
+the ranges that still hold too much, again and again, so that ids may lie as unevenly as they like. An id that holds
+more than a shard by itself is split by its payload digests. Shards grow with the root of the corpus (16 MB of payload
+up to 27 GB, 1 GB at 100 TB), as does their number.
+
+A second pass sends each record once to its shard; a revisit's mark travels as a small row of its own that sorts just
+before its page. A task writes a shard in order of page_id, each record as a gzip member of its own with regenerated
+headers and digests, and begins a new file when the compressed size reaches ROLL. A file is written under a temporary
+name that is unique to the attempt and renamed by its task when it is whole; the manifest, written last, lists the files.
+Contents and names depend on the rows alone, so a second attempt after a lost executor renames the same bytes to the
+same name.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, new_folder, small_batches
+from tidemark.llm.common import cut, new_folder, remove, shared, slices
 
-SHARD = 16 << 20  # payload bytes of a shard, about
+SHARD = 16 << 20  # payload bytes of a shard at least, about
 ROLL = 8 << 20  # compressed bytes at which a file is closed
-RANGES = 4096  # equal ranges of page_id that shards are put together from
+READ = 32 << 20  # compressed bytes that a reading task goes through, about
+PARTS = 1 << 18  # ranges whose bytes are counted in one pass, at most about
+HEAD = 400  # bytes reckoned for a record's headers
+NO_ID = -(1 << 63)  # where rows without page_id are sorted
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 EMPTY_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -81,8 +91,75 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def _write(folder: str):
-    """Sorted rows of one or more shards -> a row for each file written, under its temporary name."""
+class Shards:
+    """Limits of the shards: ranges of page_id from starts on; an id in splits has shards of its own by digest."""
+
+    def __init__(self, starts: list[int], splits: dict[int, int]) -> None:
+        self.starts = np.array(starts, np.int64)
+        parts = np.array([splits.get(s, 1) for s in starts], np.int64)
+        self.parts, self.first = parts, np.cumsum(parts) - parts
+        self.count = int(parts.sum())
+
+    def of(self, page_id: np.ndarray, sha1: list[str]) -> np.ndarray:
+        at = np.searchsorted(self.starts, page_id, "right") - 1
+        out = self.first[at]
+        for i in np.flatnonzero(self.parts[at] > 1):
+            out[i] += int(sha1[i][:8], 16) * self.parts[at[i]] >> 32
+        return out
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+
+
+def limits(known: DataFrame, least: int) -> Shards:
+    """Shards of known (page_id, n): about max(least, sqrt(10,000 * all bytes)) bytes each."""
+    spark = known.sparkSession
+    low, high, total = known.agg(F.min(F.coalesce("page_id", F.lit(NO_ID))), F.max(F.coalesce("page_id", F.lit(NO_ID))), F.sum(F.col("n") + HEAD)).first()
+    if total is None:
+        return Shards([NO_ID], {})
+    size = max(least, math.isqrt(10_000 * total))
+
+    def counted(starts: list[int]) -> dict[int, int]:
+        sent = shared(spark, np.array(starts, np.int64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(len(sent()), np.int64)
+            for batch in batches:
+                at = np.searchsorted(sent(), _ids(batch.column(0)), "right") - 1
+                np.add.at(held, at[at >= 0], (batch.column(1).to_numpy(zero_copy_only=False) + HEAD)[at >= 0])
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["at", "n"])
+
+        return {r["at"]: r.n for r in known.select("page_id", F.col("n").cast("long").alias("n")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+
+    ranges = [(low, high, total)]  # first id, last id, bytes; in order and without overlap
+    while hot := [r for r in ranges if r[2] > size and r[0] < r[1]]:
+        parts = max(4, min(4096, PARTS // len(hot)))
+        cuts: list[int] = []
+        fine: list[tuple[int, int, int]] = []
+        for a, b, n in ranges:
+            if n > size and a < b:
+                step = -(-(b - a + 1) // parts)
+                own = list(range(a, b + 1, step))
+                fine += [(x, min(b, x + step - 1), -1) for x in own]
+            else:
+                own = [a]
+                fine.append((a, b, n))
+            cuts += own
+        held = counted(cuts)
+        ranges = []
+        for k, (a, b, n) in enumerate(fine):
+            n = held.get(k, 0) if n < 0 else n
+            if ranges and ranges[-1][2] + n <= size:
+                ranges[-1] = (ranges[-1][0], b, ranges[-1][2] + n)
+            else:
+                ranges.append((a, b, n))
+    return Shards([a for a, _, _ in ranges], {a: -(-n // size) for a, b, n in ranges if n > size})
+
+
+def _write(folder: str, roll: int):
+    """Sorted rows of one or more shards -> a row for each file written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = uuid.uuid4().hex
@@ -96,8 +173,10 @@ def _write(folder: str):
             if out is not None:
                 out.close()
                 out = None
+                name = made[-1][0]
+                store.move(f"{path}/_temporary/{attempt}-{name}", f"{path}/{name}")
 
-        for batch in batches:
+        for batch in slices(batches):
             for shard, page_id, later, sha1, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != shard:
                     close()
@@ -108,60 +187,51 @@ def _write(folder: str):
                 payload = (html or "").encode()
                 data = record(page_id, url, payload, marks.get((page_id, sha1)) if marks else None)
                 if out is None:
-                    name = f"shard-{shard:06d}-{number:04d}.warc.gz"
+                    made.append([f"shard-{shard:07d}-{number:05d}.warc.gz", shard, 0, 0])
                     number += 1
-                    made.append([f"_temporary/{attempt}-{name}", name, shard, 0, 0])
-                    out = store.open_output_stream(f"{path}/{made[-1][0]}", compression=None)  # members are gzip already
+                    out = store.open_output_stream(f"{path}/_temporary/{attempt}-{made[-1][0]}", compression=None)  # members are gzip already
                 out.write(data)
-                made[-1][3] += 1
-                made[-1][4] += len(data)
-                if made[-1][4] >= ROLL:
+                made[-1][2] += 1
+                made[-1][3] += len(data)
+                if made[-1][3] >= roll:
                     close()
         close()
-        columns = list(zip(*made, strict=True)) or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["temporary", "name", "shard", "records", "bytes"])
+        columns = list(zip(*made, strict=True)) or [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["name", "shard", "records", "bytes"])
 
     return run
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard: int | None = None, roll: int | None = None) -> DataFrame:
     """Write a record per row of pages (page_id, url, html) into folder; gives the manifest, also written as
     folder/manifest (name, shard, records, bytes).
 
     A null html is an empty payload, a null url leaves the target out. Rows with a null page_id are written first,
     always as responses. Of rows with the same page_id and payload all are responses if it is the largest such id,
-    else all revisit that one. Other columns are ignored; an empty table gives an empty manifest and no files.
+    else all revisit that one; such rows stay in one shard, however many. Other columns are ignored; an empty table gives
+    an empty manifest and no files.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sha1 = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     known = cut(base.select("page_id", sha1.alias("sha1"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")))
     largest = known.where("page_id IS NOT NULL").groupBy("sha1").agg(F.max("page_id").alias("refers"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     marks = known.where("page_id IS NOT NULL").join(largest, "sha1").where("page_id < refers").select("page_id", "sha1", "refers").distinct()
-    low, high = known.agg(F.min("page_id"), F.max("page_id")).first()
-    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
-    part = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    shards, total = [0] * RANGES, 0
-    sizes = {r.part: r.n for r in known.groupBy(part.alias("part")).agg(F.sum(F.col("n") + 400).alias("n")).collect()}
-    for k in range(RANGES):
-        shards[k] = total // SHARD
-        total += sizes.get(k, 0)
-    numbers = spark.createDataFrame(list(enumerate(shards)), "part int, shard int")  # RANGES rows
+    shards = limits(known, shard or SHARD)
+    sent = shared(spark, shards)
     rows = base.select("page_id", F.lit(True).alias("later"), sha1.alias("sha1"), "url", "html", F.lit(None).cast("long").alias("refers"))
     rows = rows.union(marks.select("page_id", F.lit(False), "sha1", F.lit(None), F.lit(None), "refers"))
-    rows = rows.withColumn("part", part).join(F.broadcast(numbers), "part").select("shard", "page_id", "later", "sha1", "url", "html", "refers")
-    sent = rows.repartitionById(shards[-1] + 1, "shard").sortWithinPartitions("shard", "page_id", "later", "sha1", "url")
-    manifest = cut(sent.mapInArrow(_write(folder), "temporary string, name string, shard long, records long, bytes long"))
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    store = at.getFileSystem(hadoop)
-    for r in manifest.select("temporary", "name").toLocalIterator():
-        if not store.rename(jvm.org.apache.hadoop.fs.Path(at, r.temporary), jvm.org.apache.hadoop.fs.Path(at, r.name)):
-            raise OSError(f"{r.name} could not be committed")
-    store.delete(jvm.org.apache.hadoop.fs.Path(at, "_temporary"), True)
-    manifest = manifest.drop("temporary")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = sent().of(_ids(batch.column(0)), batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns], names=["shard", *batch.schema.names])
+
+    placed = rows.mapInArrow(place, "shard int, page_id long, later boolean, sha1 string, url string, html string, refers long")
+    dealt = placed.repartitionById(shards.count, "shard").sortWithinPartitions("shard", "page_id", "later", "sha1", "url")
+    manifest = cut(dealt.mapInArrow(_write(folder, roll or ROLL), "name string, shard long, records long, bytes long"))
+    remove(spark, f"{folder.rstrip('/')}/_temporary")
     manifest.write.parquet(f"{folder.rstrip('/')}/manifest")
     return manifest
 
@@ -170,7 +240,6 @@ def read(spark, folder: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of the files that folder's
     manifest names. Block and payload digests are checked; a revisit has the size and digest of the full payload and
     a null payload."""
-    small_batches(spark)
     manifest = spark.read.parquet(f"{folder.rstrip('/')}/manifest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +271,9 @@ def read(spark, folder: str) -> DataFrame:
                     yield packed(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    files = manifest.select("name").repartition(max(1, min(2000, manifest.count())))
-    return files.mapInArrow(run, schema)
+    files, total = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(files, max(spark.sparkContext.defaultParallelism, (total or 0) // READ)))
+    return manifest.select("name").repartition(tasks).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
