@@ -1,8 +1,9 @@
+import math
 import random
 
 import pytest
 
-from tidemark.operators import metrics
+from tidemark.operators import islands, matching, metrics, session
 from tidemark.operators.matching import CollarMatcher, IoUMatcher, flagged, greedy_matches
 
 EVENT = "file_id string, ord long, onset_s double, offset_s double, score double"
@@ -96,3 +97,75 @@ def test_empty_sides(spark):
     assert (r.n_gt, r.ap, r.fp) == (0, 0.0, 1)
     files = spark.createDataFrame([("quiet",)], "file_id string")
     assert metrics.macro_f1(flagged(none, none, IoUMatcher()), none, files).first().macro_f1 == 1.0
+
+
+def _events(rows, scored):
+    return [(f, k, a, b, s if scored else 1.0) for k, (f, a, b, s) in enumerate(rows)]
+
+
+SCHEMA = "file_id string, ord long, onset_s double, offset_s double, score double"
+
+
+@pytest.mark.parametrize("matcher", [IoUMatcher(0.0), IoUMatcher(0.2), CollarMatcher(2.0, 2.0, 0.2)])
+@pytest.mark.parametrize(("one_task", "chain"), [(10**6, 10**6), (10, 3)])
+def test_matching_is_that_of_plain_steps(spark, matcher, one_task, chain, monkeypatch):
+    """However events are dealt to stretches and pairs to rounds; with threshold 0 disjoint events match too."""
+    monkeypatch.setattr(session, "ONE_TASK", one_task)
+    monkeypatch.setattr(matching, "CHAIN", chain)
+    rng = random.Random(3)
+    span = lambda f: (f, a := rng.randrange(120) / 2, a + rng.randrange(1, 12) / 2, rng.randrange(5) / 4)
+    preds, gts = ([span(rng.choice("aab")) for _ in range(90)] for _ in range(2))
+    p, g = _events(preds, True), _events(gts, False)
+    want = set()
+    for f in "ab":
+        used = set()
+        for _, k, a, b, _ in sorted((x for x in p if x[0] == f), key=lambda x: (-x[4], x[1])):
+            best = None
+            for _, j, c, d, _ in (x for x in g if x[0] == f):
+                both = max(0.0, min(b, d) - max(a, c))
+                if isinstance(matcher, IoUMatcher):
+                    fits, quality = (both / (b - a + d - c - both) >= matcher.threshold), both / (b - a + d - c - both)
+                else:
+                    fits, quality = abs(a - c) <= 2 and abs(b - d) <= max(2.0, 0.2 * (d - c)), -abs(a - c)
+                if fits and j not in used and (best is None or quality > best[0]):
+                    best = (quality, j)
+            if best:
+                used.add(best[1])
+                want.add((f, k, best[1]))
+    got = matching.greedy_matches(spark.createDataFrame(p, SCHEMA), spark.createDataFrame(g, SCHEMA), matcher).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("one_task", [10**6, 5])
+def test_islands_across_stretches(spark, one_task, monkeypatch):
+    monkeypatch.setattr(session, "ONE_TASK", one_task)
+    rng = random.Random(8)
+    rows = [("x", k, a := rng.randrange(900) / 3, a + rng.choice((0.1, 0.5, 3.0, 60.0)) * rng.random(), rng.random()) for k in range(200)] + [("y", 0, 1.0, 2.0, 0.5), ("y", 1, 2.0, 3.0, 0.25)]
+    want = []
+    for f in "xy":
+        for _, _, a, b, s in sorted((r for r in rows if r[0] == f), key=lambda r: (r[2], r[3])):
+            if want and want[-1][0] == f and a <= want[-1][2] + 0.5:
+                want[-1] = (f, want[-1][1], max(want[-1][2], b), max(want[-1][3], s))
+            else:
+                want.append((f, a, b, s))
+    got = islands.stitch(spark.createDataFrame(rows, SCHEMA), ["file_id"], 0.5).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("stretch", [256, 3])
+def test_covered_bins_are_those_of_an_array(spark, stretch, monkeypatch):
+    monkeypatch.setattr(metrics, "STRETCH", stretch)
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), k, a := rng.random() * 9 - 0.5, a + rng.choice((0.01, 0.5, 7.0)), rng.randrange(6) / 5) for k in range(80)]
+    want: dict = {}
+    for f in "ab":
+        top = [None] * 80
+        for _, _, a, b, s in (r for r in rows if r[0] == f):
+            for i in range(max(0, math.floor(a / 0.1)), min(80, math.ceil(b / 0.1))):
+                top[i] = s if top[i] is None else max(top[i], s)
+        for s in top:
+            if s is not None:
+                want[s] = want.get(s, 0) + 1
+    known = spark.createDataFrame([("a", 8.0), ("b", 8.0)], "file_id string, duration_s double")
+    got = metrics.covered_bins(spark.createDataFrame(rows, SCHEMA), known, 0.1).collect()
+    assert {r.score: r.bins for r in got} == want

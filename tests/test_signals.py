@@ -118,10 +118,54 @@ def test_template_prefers_what_recurs():
 def test_chunks_agree_with_the_whole():
     d = detectors.get_detector("spectral_entropy")
     x = bursts([(0.5, 0.9), (2.5, 2.9), (4.5, 4.9)])
-    whole, parts = detectors.detect_chunked(d, x, SR, None, 0), detectors.detect_chunked(d, x, SR, 2.0, 0.5)
+    asked = []
+
+    def read(a, b):
+        asked.append((a, b))
+        return x[a:b]
+
+    whole, parts = detectors.detect_chunked(d, read, len(x), SR, None, 0), detectors.detect_chunked(d, read, len(x), SR, 2.0, 0.5)
     assert abs(len(whole) - len(parts)) <= 1
-    with pytest.raises(ValueError):
-        detectors.detect_chunked(d, x, SR, 1.0, 1.0)
+    assert max(b - a for a, b in asked[1:]) == 2 * SR and asked[-1][1] == len(x)
+    # the same by plain steps
+    found = sorted((a + k * 1.5, b + k * 1.5, s) for k in range(4) if k == 0 or (k - 1) * 1.5 + 2 < 6 for a, b, s in d.detect(x[int(k * 1.5 * SR) : int(k * 1.5 * SR) + 2 * SR], SR))
+    want = []
+    for a, b, s in found:
+        if want and a - want[-1][1] <= 0.5:
+            want[-1] = (want[-1][0], max(want[-1][1], b), max(want[-1][2], s))
+        else:
+            want.append((a, b, s))
+    assert np.allclose(parts, want)
+    # an overlap as long as the chunk moves on by single samples
+    few = detectors.detect_chunked(d, lambda a, b: x[a:b], 4100, SR, 4096 / SR, 1.0)
+    assert all(a <= b for a, b, _ in few)
+
+
+def test_spans_of_a_recording_at_another_rate():
+    x = noise(1.0, 1.0)
+    for source, target in ((16000, 6000), (16000, 22050), (16000, 16000), (44100, 48000)):
+        whole = dsp.resample(x, source, target)
+        assert len(whole) == dsp.resampled_length(len(x), source, target)
+        parts = [dsp.resample_span(lambda a, b: x[a:b], len(x), source, target, k, min(k + 999, len(whole))) for k in range(0, len(whole), 999)]
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-6)
+
+
+def test_search_is_that_of_all_places():
+    rng = np.random.default_rng(7)
+    for n in (40, 41, 333):
+        master = rng.standard_normal(3000).cumsum()
+        cuts = [master[a : a + n] + 0.3 * rng.standard_normal(n) for a in (0, 700, 3000 - n)] + [np.ones(n), rng.standard_normal(4000)]
+        got = {b: dsp.locate_all(lambda p, q: master[p:q], 3000, cuts, b) for b in (100_000, 500, 64)}
+        for i, cut in enumerate(cuts):
+            if i > 2:
+                assert all(g[i] is None for g in got.values())
+                continue
+            t = cut - cut.mean()
+            score = np.array([t @ (w - w.mean()) / np.sqrt((t @ t) * ((w - w.mean()) @ (w - w.mean()))) for w in (master[k : k + n] for k in range(3000 - n + 1))])
+            best = int(score.argmax())
+            far = score[np.abs(np.arange(len(score)) - best) > n // 2].max()
+            for g in got.values():
+                assert g[i][0] == best and g[i][1] == pytest.approx(score[best]) and g[i][2] == pytest.approx(score[best] / far)
 
 
 def test_detect_in_spark_and_curve_to_events(spark):

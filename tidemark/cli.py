@@ -22,7 +22,9 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     truth = tables.selection_table(spark, a.gt)
     names = sorted(detectors.REGISTRY) if a.detectors.strip().lower() == "all" else [n.strip() for n in a.detectors.split(",") if n.strip()]
     known = audio.durations(files).select("file_id", F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"))
-    found = detectors.detect(audio.decode(files, a.target_sr).where("status = 'ok'"), names, None, a.chunk_s, a.overlap_s).persist()
+    # a file that cannot be read is left out, as a header told
+    readable = files.join(audio.durations(files).where("status = 'ok'").select("file_id"), "file_id", "left_semi")
+    found = detectors.detect_files(readable, names, None, a.target_sr, a.chunk_s, a.overlap_s).persist()
     failed = found.where("status <> 'ok'").first()
     if failed:
         raise RuntimeError(f"{failed.detector} on {failed.file_id}: {failed.status}")
@@ -37,7 +39,9 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     out = tables.merged(rows)
     if a.out_dir:
         out.write.mode("overwrite").parquet(f"{a.out_dir}/results")
-        tables.write_table(spark.read.parquet(f"{a.out_dir}/results"), f"{a.out_dir}/results.tsv")
+        tables.write_table(tables.result_text(spark.read.parquet(f"{a.out_dir}/results")), f"{a.out_dir}/results.tsv")
+        found.unpersist()
+        return spark.read.parquet(f"{a.out_dir}/results")
     return out
 
 
@@ -48,8 +52,8 @@ def score(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         # the list of recordings is short: its order is all that this window sees
         listed = listed.withColumn("_k", F.row_number().over(rank) - 1).where(F.pmod("_k", F.lit(a.num_shards)) == a.shard_id)
     rate = a.target_sr if a.target_sr > 0 else None
-    decoded = audio.decode(listed.select(F.col("wav_id").alias("file_id"), "path").repartition(max(1, spark.sparkContext.defaultParallelism)), rate)
-    out = detectors.score_windows(decoded.where("status = 'ok'"), a.detector, a.window_s)
+    files = listed.select(F.col("wav_id").alias("file_id"), "path").repartition(max(1, spark.sparkContext.defaultParallelism))
+    out = detectors.score_files(files, a.detector, a.window_s, rate)
     tables.write_scored_grid(out, a.out)
     return out
 
@@ -74,11 +78,11 @@ def align(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         cuts = provenance.pending(cuts, done, ("species", "file"))
     if a.limit:
         cuts = cuts.limit(a.limit)
-    loaded = audio.decode(cuts.select(F.col("path").alias("file_id"), "path")).select(F.col("file_id").alias("path"), F.col("sr").alias("cut_sr"), F.col("samples").alias("cut"))
-    cuts = cuts.join(loaded, "path").withColumn("cut_file", F.col("file")).withColumn("cut_sr", F.coalesce("cut_sr", F.lit(0)))
-    pairs = provenance.channels(cuts.select("species", "tape_id", "cut_base", "cut_file", "cut_sr", "cut"), masters.select("species", "tape_id", F.col("path").alias("master_file"), "stem", "prefers_high", "rank", "ord"))
-    full = audio.decode(masters.select(F.col("path").alias("file_id"), "path")).select(F.col("file_id").alias("master_file"), F.coalesce("sr", F.lit(0)).alias("master_sr"), F.coalesce("samples", F.expr("CAST(array() AS array<float>)")).alias("samples"))
-    out = alignment.align(pairs, full, a.corr_rate, a.mode, a.env_rate)
+    # the channel rule asks for a cut's rate: headers tell it
+    rates = audio.durations(cuts.select(F.col("path").alias("file_id"), "path")).select(F.col("file_id").alias("path"), F.coalesce("sr", F.lit(0)).alias("cut_sr"))
+    cuts = cuts.join(rates, "path").withColumn("cut_file", F.col("file"))
+    pairs = provenance.channels(cuts.select("species", "tape_id", "cut_base", "cut_file", "cut_sr", F.col("path").alias("cut_path")), masters.select("species", "tape_id", F.col("path").alias("master_file"), "stem", "prefers_high", "rank", "ord"))
+    out = alignment.align_files(pairs, a.corr_rate, a.mode, a.env_rate)
     lost = provenance.orphans(cuts.select("species", "tape_id", "cut_base", "cut_file", "cut_sr"), masters.select("species", "tape_id", "stem"))
     out = tables.merged([out, lost.select("species", "cut_file", "tape_id", "cut_sr", "status")])
     tables.write_table(out, a.out, partition_by=("species",), mode="append" if again else "overwrite")
@@ -98,7 +102,7 @@ def consensus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def build_clips(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Positive clips around annotated events and as many event-free ones, with the truth within each."""
     events = tables.annotations(spark, f"{a.dump}/{a.config}/annotations.tsv").withColumnRenamed("master_id", "master")
-    paths = audio.catalogue(spark, f"{a.dump}/{a.config}/soundscapes").withColumnRenamed("file_id", "master")
+    paths = audio.catalogue(spark, f"{a.dump}/{a.config}/soundscapes", first=True).withColumnRenamed("file_id", "master")
     known = audio.durations(paths.withColumnRenamed("master", "file_id")).where("status = 'ok'").select(F.col("file_id").alias("master"), F.col("duration_s").alias("total_s"))
     long = events.join(known.where(F.col("total_s") > a.clip_s), "master").withColumn("key", F.concat_ws("|", "master", "start_s", "end_s", "ebird_code"))
     anchors = evalset.stratified_cap(long, a.max_per_species, a.max_positives, "ebird_code", ["key"], a.seed)
@@ -110,15 +114,31 @@ def build_clips(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     wanted = placed.select("clip_id", "master", "t0", "t1", F.lit("event").alias("label"), F.col("ebird_code").alias("species")).unionByName(free.select("clip_id", "master", "t0", "t1", F.lit("none").alias("label"), F.lit("").alias("species")))
     cut = audio.clips(wanted.join(paths, "master").select("clip_id", "path", "t0", "t1"), a.target_sr)
     written = audio.write_clips(cut.where("status = 'ok'"), f"{a.out}/clips")
-    tables.write_table(spans.withColumnRenamed("win_id", "file_id"), f"{a.out}/gt.tsv")
+    tables.write_truth(spans.withColumnRenamed("win_id", "file_id"), f"{a.out}/gt.tsv")
     share = evalset.density(spans, a.clip_s).withColumnRenamed("win_id", "clip_id")
     out = wanted.join(written, "clip_id").join(share, "clip_id", "left").fillna(0.0, ["density"])
     tables.write_table(out, f"{a.out}/metadata.csv", sep=",")
-    counts = {r.label: r["count"] for r in wanted.groupBy("label").count().collect()}
-    tables.write_card(spark, f"{a.out}/card", f"{a.config}: clips of {a.clip_s:g} s at {a.target_sr} Hz", {"with events": counts.get("event", 0), "without": counts.get("none", 0)})
+    _card(spark, a, f"Clips of {a.config}", wanted.withColumnRenamed("master", "recording"))
+    placed.unpersist()
     return out
 
 
+def _card(spark: SparkSession, a: argparse.Namespace, title: str, clips: DataFrame) -> None:
+    """The data set's card, from its clips (label, species, recording)."""
+    n = {r.label: r for r in clips.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("recording").alias("recordings"), F.countDistinct("species").alias("species")).collect()}
+    some = lambda label, what: n[label][what] if label in n else 0
+    facts = {
+        "clips/*.wav": f"{some('event', 'n') + some('none', 'n')} mono clips of {a.clip_s:g} s at {a.target_sr} Hz", "gt.tsv": "event spans within the clips, in seconds", "metadata.csv": "one row per clip",
+        "clips with events (label event)": f"{some('event', 'n')}, from {some('event', 'recordings')} recordings, {some('event', 'species')} species", "clips without (label none)": f"{some('none', 'n')}, from the same recordings",
+    }
+    notes = {
+        "How it was made": [f"A clip is laid around an event at a place drawn from seed {a.seed}, {a.margin_s:g} s from its ends at least where it fits.", f"Clips without events keep {a.margin_s:g} s from every known event."],
+        "What to mind": ["Clips without events may hold some that nobody marked, so precision is a lower bound.", f"What lies above {a.target_sr // 2} Hz is lost.", "Sources ask for attribution by their own terms."],
+        "Scoring": [f"python -m tidemark.cli benchmark --audio-dir clips --gt gt.tsv --detectors all --target-sr {a.target_sr}"],
+    }
+    tables.write_card(spark, f"{a.out}/card", title, facts, notes)
+
+
 def build_tapes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Clips from tapes: each confidently located cut on its tape's canonical channel, with the cut alone as truth,
     and event-free clips of the same tapes."""
@@ -138,9 +158,11 @@ def build_tapes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     columns = ("clip_id", "species", "tape_id", F.col("master").alias("path"), "t0", "t1")
     clips = placed.select(*columns, F.lit("event").alias("label"), "rel_on", "rel_off").unionByName(free.select(*columns, F.lit("none").alias("label")), allowMissingColumns=True)
     written = audio.write_clips(audio.clips(clips, a.target_sr).where("status = 'ok'"), f"{a.out}/clips")
-    tables.write_table(placed.select(F.col("clip_id").alias("file_id"), F.col("rel_on").alias("Begin Time (s)"), F.col("rel_off").alias("End Time (s)")), f"{a.out}/gt.tsv")
+    tables.write_truth(placed.select(F.col("clip_id").alias("file_id"), F.col("rel_on").alias("onset_s"), F.col("rel_off").alias("offset_s")), f"{a.out}/gt.tsv")
     out = clips.drop("path").join(written, "clip_id")
     tables.write_table(out, f"{a.out}/metadata.csv", sep=",")
+    _card(spark, a, "Clips of tapes", clips.withColumnRenamed("path", "recording"))
+    placed.unpersist()
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import gcd
 
 import numpy as np
@@ -156,11 +157,19 @@ def regions(image: np.ndarray, std: float = 4.0, share: float = 0.5, least: int
     return out
 
 
-def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Polyphase resampling by the reduced ratio, with a Kaiser-windowed sinc; float32. Equal rates change nothing."""
-    x = np.ascontiguousarray(x, np.float32)
-    if source == target or not len(x):
-        return x
+Reader = Callable[[int, int], np.ndarray]  # samples [first, last) of a recording
+
+
+def resampled_length(n: int, source: int, target: int) -> int:
+    g = gcd(int(source), int(target)) if source and target else 1
+    return n if source == target else -(-n * (int(target) // g) // (int(source) // g))
+
+
+def resample_span(read: Reader, n: int, source: int, target: int, first: int, last: int) -> np.ndarray:
+    """Samples [first, last) of a recording of n samples at another rate: polyphase resampling by the reduced ratio with
+    a Kaiser-windowed sinc, float32, zeros beyond the ends. Only the samples that these depend on are read."""
+    if source == target:
+        return np.ascontiguousarray(read(first, last), np.float32)
     g = gcd(int(source), int(target))
     up, down = int(target) // g, int(source) // g
     widest = max(up, down)
@@ -168,61 +177,125 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     k = np.arange(-half, half + 1)
     taps = np.sinc(k / widest) / widest * np.kaiser(2 * half + 1, 5.0)
     taps *= up / taps.sum()
-    n_out = -(-len(x) * up // down)
-    # y[n] = sum_j x[j] taps[n * down - j * up + half]
+    # y[m] = sum_j x[j] taps[m * down - j * up + half]
     reach = -(-half // up) + 1
-    padded = np.pad(x.astype(np.float64), (reach, reach))
-    out = np.empty(n_out)
-    for phase in range(min(up, n_out)):
-        n = np.arange(phase, n_out, up)
-        centre, rest = np.divmod(n[0] * down, up)
-        j = np.arange(-reach, reach + 1)
-        at = rest - j * up + half
+    low, high = first * down // up - reach, max(first, last - 1) * down // up + reach + 1
+    x = np.asarray(read(max(0, low), min(n, high)), np.float64)
+    x = np.pad(x, (max(0, -low), max(0, high - n)))
+    rows = sliding_window_view(x, 2 * reach + 1)
+    out = np.empty(last - first)
+    for phase in range(min(up, last - first)):
+        m = np.arange(first + phase, last, up)
+        centre, rest = np.divmod(m[0] * down, up)
+        at = rest - np.arange(-reach, reach + 1) * up + half
         weight = np.where((at >= 0) & (at <= 2 * half), taps[np.clip(at, 0, 2 * half)], 0.0)
-        rows = sliding_window_view(padded, 2 * reach + 1)
-        out[n] = np.concatenate([rows[part] @ weight for part in np.array_split(centre + np.arange(len(n)) * down, max(1, len(n) // BLOCK))])
+        begin = centre - reach - low + np.arange(len(m)) * down
+        out[phase::up] = np.concatenate([rows[part] @ weight for part in np.array_split(begin, max(1, len(m) // BLOCK))])
     return out.astype(np.float32)
 
 
-def rms_envelope(x: np.ndarray, sr: int, rate: int) -> tuple[np.ndarray, float]:
-    """Root of the moving mean power over about sr / rate samples, one value a window; and the rate that results."""
-    win = max(1, int(np.rint(sr / rate)))
-    total = np.concatenate([[0.0], np.cumsum(np.asarray(x, np.float64) ** 2)])
-    return np.sqrt(((total[win:] - total[:-win]) / win)[::win]).astype(np.float32), sr / win
+def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
+    """A whole recording at another rate. Equal rates change nothing."""
+    x = np.ascontiguousarray(x, np.float32)
+    if source == target or not len(x):
+        return x
+    return resample_span(lambda a, b: x[a:b], len(x), source, target, 0, resampled_length(len(x), source, target))
 
 
-def locate(master: np.ndarray, cut: np.ndarray, block: int = 4_000_000) -> tuple[int, float, float] | None:
+def rms_envelope(x: np.ndarray, sr: int, rate: int) -> tuple[np.ndarray, float]:
+    """Root mean square of successive windows of about sr / rate samples, whole windows only; and their rate."""
+    size = max(1, int(np.rint(sr / rate)))
+    whole = np.asarray(x[: len(x) // size * size], np.float64).reshape(-1, size)
+    return np.sqrt((whole**2).mean(1)).astype(np.float32), sr / size
+
+
+def correlations(part: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Normalised correlation of a template of zero mean with every place of part where it fits."""
+    n = len(template)
+    size = 1 << (len(part) - 1).bit_length()
+    x = np.asarray(part, np.float64)
+    along = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(template, size).conj(), size)[: len(x) - n + 1]
+    moments = np.cumsum(np.stack([x, x * x]), axis=1)
+    moments = np.concatenate([moments[:, n - 1 : n], moments[:, n:] - moments[:, :-n]], axis=1)
+    spread = np.maximum(moments[1] - moments[0] ** 2 / n, SILENT)
+    return along / np.sqrt(spread * (template @ template))
+
+
+#: Fixed value: energy below which a window or a template counts as silent.
+SILENT = 1e-9
+
+
+class Search:
+    """Where a cut correlates best with a recording that is fed block by block. Places are kept as the greatest
+    correlation of each stretch of half a cut; a block begins at a multiple of that."""
+
+    def __init__(self, cut: np.ndarray, total: int) -> None:
+        cut = np.asarray(cut, np.float64)
+        self.size, self.places = len(cut), total - len(cut) + 1
+        self.template = cut - cut.mean() if len(cut) else cut
+        self.guard = max(1, self.size // 2)
+        self.value: list[np.ndarray] = []
+        self.place: list[np.ndarray] = []
+
+    @property
+    def hopeless(self) -> bool:
+        """A silent cut, or one that does not fit."""
+        return self.places <= 0 or float(np.sqrt(self.template @ self.template)) < SILENT
+
+    def feed(self, begin: int, part: np.ndarray) -> None:
+        """part: samples from `begin` on, with as many more than the block's places as the cut needs."""
+        score = correlations(part, self.template)
+        short = -len(score) % self.guard
+        cells = np.pad(score, (0, short), constant_values=-np.inf).reshape(-1, self.guard)
+        at = cells.argmax(1)
+        self.value.append(cells[np.arange(len(cells)), at])
+        self.place.append(begin + np.arange(len(cells)) * self.guard + at)
+
+    def found(self, read: Reader) -> tuple[int, float, float]:
+        """Position, correlation, and its ratio to the best one more than half a cut away."""
+        value, place = np.concatenate(self.value), np.concatenate(self.place)
+        best = int(value.argmax())
+        top, at = float(value[best]), int(place[best])
+        cell = at // self.guard
+        beyond = np.abs(np.arange(len(value)) - cell) > 1
+        others = [value[beyond]]
+        # the stretches beside the best one lie partly within reach of it: their far parts are gone over again
+        for first, last in (((cell - 1) * self.guard, at - self.guard), (at + self.guard + 1, (cell + 2) * self.guard)):
+            first, last = max(0, first), min(self.places, last)
+            if first < last:
+                others.append(correlations(read(first, last + self.size - 1), self.template))
+        return at, top, peak_ratio(top, float(max((o.max() for o in others if len(o)), default=0.0)))
+
+
+def peak_ratio(best: float, other: float) -> float:
+    return best / other if other > 1e-6 else float("inf")
+
+
+def locate_all(read: Reader, total: int, cuts: list[np.ndarray], block: int = BLOCK) -> list[tuple[int, float, float] | None]:
+    """Search's result for each cut, None for those that are hopeless. The recording is read once, in blocks, for all."""
+    searches = [Search(c, total) for c in cuts]
+    hopeful = [s for s in searches if not s.hopeless]
+    beyond = max((s.size + s.guard for s in hopeful), default=0)
+    next_ = dict.fromkeys(hopeful, 0)  # the first place of each search that is still to be looked at
+    while left := [s for s in hopeful if next_[s] < s.places]:
+        begin = min(next_[s] for s in left)
+        part = read(begin, min(total, begin + block + beyond))
+        for s in left:
+            # whole stretches up to the block's end, one at least where the search has not come farther yet
+            first, stretches = next_[s], -(-(begin + block - next_[s]) // s.guard)
+            if stretches > 0:
+                last = min(s.places, first + stretches * s.guard)
+                s.feed(first, part[first - begin : last + s.size - 1 - begin])
+                next_[s] = last
+    return [None if s.hopeless else s.found(read) for s in searches]
+
+
+def locate(master: np.ndarray, cut: np.ndarray, block: int = BLOCK) -> tuple[int, float, float] | None:
     """Where cut correlates best with master: (position, normalised correlation, ratio to the best elsewhere).
 
     Positions nearer than half a cut to the best do not count as elsewhere. None for a silent cut or a master shorter
-    than it. The positions are gone through in blocks, so memory does not grow with the master."""
-    n, places = len(cut), len(master) - len(cut) + 1
-    if places <= 0:
-        return None
-    template = np.asarray(cut, np.float64) - np.mean(cut, dtype=np.float64)
-    norm = float(np.sqrt(template @ template))
-    if norm < 1e-9:
-        return None
-    guard = max(1, n // 2)
-    peaks: list[tuple[float, int]] = []
-    for begin in range(0, places, block):
-        m = min(block, places - begin)
-        part = np.asarray(master[begin : begin + m + n - 1], np.float64)
-        size = 1 << (len(part) - 1).bit_length()
-        dots = np.fft.irfft(np.fft.rfft(part, size) * np.conj(np.fft.rfft(template, size)), size)[:m]
-        sums, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (part, part * part))
-        mass = sums[n:] - sums[:-n]
-        energy = np.maximum(squares[n:] - squares[:-n] - mass * mass / n, 1e-9)
-        score = dots / (np.sqrt(energy) * norm)
-        top = int(score.argmax())
-        peaks.append((float(score[top]), begin + top))
-        score[max(0, top - guard) : top + guard + 1] = -np.inf
-        second = int(score.argmax())
-        if np.isfinite(score[second]):
-            peaks.append((float(score[second]), begin + second))
-    value, place = max(peaks)
-    other = max((v for v, p in peaks if abs(p - place) > guard), default=0.0)
-    return place, value, value / other if other > 1e-6 else float("inf")
+    than it."""
+    return locate_all(lambda a, b: master[a:b], len(master), [cut], block)[0]
 
 
 def patch_feature(patch: np.ndarray, width: int) -> np.ndarray:
@@ -241,21 +314,36 @@ def patch_feature(patch: np.ndarray, width: int) -> np.ndarray:
     return v
 
 
+def frames_within(times: np.ndarray, on: float, off: float) -> slice:
+    """The frames from on to off; where none lies there, the next one, or the last."""
+    inside = np.flatnonzero((times >= on) & (times <= off))
+    if inside.size:
+        return slice(inside[0], inside[-1] + 1)
+    after = np.flatnonzero(times >= on)
+    k = int(after[0]) if after.size else len(times) - 1
+    return slice(k, k + 1)
+
+
+def stitch(spans: list[tuple[float, float, float]], gap: float, least: float = -np.inf, score=np.maximum) -> list[tuple[float, float, float]]:
+    """Spans at most gap apart become one, scores put together by a ufunc; those of `least` or more are kept."""
+    if not spans:
+        return []
+    on, off, s = np.array(sorted(spans), np.float64).T
+    reach = np.maximum.accumulate(off)
+    first = np.flatnonzero(np.concatenate([[True], on[1:] - reach[:-1] > gap]))
+    on, off, s = on[first], reach[np.append(first[1:], len(on)) - 1], score.reduceat(s, first)
+    long = off - on >= least
+    return list(zip(on[long].tolist(), off[long].tolist(), s[long].tolist(), strict=True))
+
+
 def curve_events(times: np.ndarray, values: np.ndarray, k: float, min_dur: float, gap: float) -> list[tuple[float, float, float]]:
     """(onset, offset, score) from a salience curve: the same steps as operators.islands.salience_events."""
     if not len(times):
         return []
     med = float(np.median(values))
     spread = float(np.median(np.abs(values - med))) or float(values.std()) or 1e-9
-    limit = med + k * spread
-    dt = float(np.median(np.diff(times))) if len(times) > 1 else 0.0
-    up = np.diff(np.concatenate([[0], (values >= limit).astype(np.int8), [0]]))
-    out: list[list[float]] = []
-    for a, b in zip(np.flatnonzero(up == 1), np.flatnonzero(up == -1), strict=True):
-        on, off = max(0.0, times[a] - max(dt, 0) / 2), times[b - 1] + max(dt, 0) / 2
-        area = float((values[a:b] - limit).sum()) * (dt if dt > 0 else 1.0)
-        if out and on - out[-1][1] <= gap:
-            out[-1][1], out[-1][2] = off, out[-1][2] + area
-        else:
-            out.append([on, off, area])
-    return [(float(a), float(b), max(s, 1e-12)) for a, b, s in out if b - a >= min_dur]
+    over = values - (med + k * spread)
+    dt = max(float(np.median(np.diff(times))), 0.0) if len(times) > 1 else 0.0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], over >= 0, [False]]))).reshape(-1, 2)
+    runs = [(max(0.0, times[a] - dt / 2), times[b - 1] + dt / 2, over[a:b].sum() * (dt or 1.0)) for a, b in edges]
+    return [(a, b, max(area, 1e-12)) for a, b, area in stitch(runs, gap, min_dur, np.add)]

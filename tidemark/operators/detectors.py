@@ -131,17 +131,13 @@ class EnergyTemplate(Detector):
         spans = dsp.curve_events(times, dsp.power_to_db(mel.sum(0) + 1e-12), self.k, self.min_dur_s, self.merge_gap_s)
         if len(spans) < 2:
             return [(a, b, 1.0) for a, b, _ in spans]
-        image, n = dsp.power_to_db(mel, ref=float(mel.max())), len(times)
-        many = n > 1
-        features = []
-        for on, off, _ in spans:
-            a = min(int(np.searchsorted(times, on, "left")), n - 1) if many else 0
-            b = max(a + 1, min(int(np.searchsorted(times, off, "right")), n)) if many else n
-            features.append(dsp.patch_feature(image[:, a:b], self.patch_w))
-        near = np.stack(features) @ np.stack(features).T
-        np.fill_diagonal(near, -np.inf)
-        best = np.sort(near, axis=1)[:, ::-1][:, : max(1, min(self.topk, len(spans) - 1))].mean(1)
-        return [(a, b, float(s)) for (a, b, _), s in zip(spans, best, strict=True)]
+        image = dsp.power_to_db(mel, ref=float(mel.max()))
+        patches = np.stack([dsp.patch_feature(image[:, dsp.frames_within(times, on, off)], self.patch_w) for on, off, _ in spans])
+        alike = patches @ patches.T
+        np.fill_diagonal(alike, -np.inf)
+        others = max(1, min(self.topk, len(spans) - 1))
+        best = -np.partition(-alike, others - 1, axis=1)[:, :others].mean(1)
+        return [(a, b, s) for (a, b, _), s in zip(spans, best.tolist(), strict=True)]
 
 
 @register("maad_roi")
@@ -172,38 +168,20 @@ class SpectrogramRegions(Detector):
             image = dsp.remove_floor(image)
         if self.dither_db > 0:
             image = image + dsp.dither(image.shape, self.dither_db)
-        spans = []
-        for r0, r1, c0, c1 in dsp.regions(image, self.bin_std, self.bin_per, self.min_roi, self.max_roi):
-            spans.append((float(times[c0]), float(times[c1]), float(power[r0 : r1 + 1, c0 : c1 + 1].sum())))
-        out: list[list[float]] = []
-        for on, off, s in sorted(spans, key=lambda v: v[0]):
-            if out and on - out[-1][1] <= self.merge_gap_s:
-                out[-1][1], out[-1][2] = max(out[-1][1], off), max(out[-1][2], s)
-            else:
-                out.append([on, off, s])
-        return [(a, b, s) for a, b, s in out if b - a >= self.min_dur_s]
-
-
-def detect_chunked(detector: Detector, x: np.ndarray, sr: int, chunk_s: float | None, overlap_s: float) -> Spans:
-    """Detect in overlapping chunks and stitch events at most the overlap apart; a short waveform in one piece."""
-    if chunk_s is None or len(x) <= int(chunk_s * sr):
-        return sorted(detector.detect(x, sr))
-    size = int(chunk_s * sr)
-    hop = size - int(overlap_s * sr)
-    if hop < 1:
-        raise ValueError("the overlap must be shorter than the chunk")
-    found: Spans = []
-    for start in range(0, len(x), hop):
-        found += [(a + start / sr, b + start / sr, s) for a, b, s in detector.detect(x[start : start + size], sr)]
-        if start + size >= len(x):
-            break
-    out: Spans = []
-    for a, b, s in sorted(found):
-        if out and a <= out[-1][1] + overlap_s:
-            out[-1] = (out[-1][0], max(out[-1][1], b), max(out[-1][2], s))
-        else:
-            out.append((a, b, s))
-    return out
+        boxes = dsp.regions(image, self.bin_std, self.bin_per, self.min_roi, self.max_roi)
+        return dsp.stitch([(times[c0], times[c1], power[r0 : r1 + 1, c0 : c1 + 1].sum()) for r0, r1, c0, c1 in boxes], self.merge_gap_s, self.min_dur_s)
+
+
+def detect_chunked(detector: Detector, read: dsp.Reader, n: int, sr: int, chunk_s: float | None, overlap_s: float) -> Spans:
+    """Detect in overlapping chunks of a recording of n samples and stitch events at most the overlap apart; a short one
+    in one piece. Only one chunk is read at a time. An overlap as long as the chunk moves on by one sample."""
+    size = int(chunk_s * sr) if chunk_s is not None else n
+    if n <= size:
+        return sorted(detector.detect(read(0, n), sr))
+    hop, found = max(1, size - int(overlap_s * sr)), []
+    for start in range(0, n - size + hop, hop):
+        found += [(a + start / sr, b + start / sr, s) for a, b, s in detector.detect(read(start, min(n, start + size)), sr)]
+    return dsp.stitch(found, overlap_s)
 
 
 Render = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -242,7 +220,7 @@ def detect(recordings: DataFrame, names: list[str], params: dict[str, dict] | No
                     told = [(k, str(v)) for k, v in asdict(d).items()]
                     try:
                         x = np.asarray(samples[i].values, np.float32) if samples[i].is_valid else np.zeros(0, np.float32)
-                        rows += [(file_id, d.name, told, k, a, b, s, "ok") for k, (a, b, s) in enumerate(detect_chunked(d, x, sr, chunk_s, overlap_s))]
+                        rows += [(file_id, d.name, told, k, a, b, s, "ok") for k, (a, b, s) in enumerate(detect_chunked(d, lambda a, b, x=x: x[a:b], len(x), sr, chunk_s, overlap_s))]
                     except (ValueError, ArithmeticError, IndexError, TypeError) as e:
                         rows.append((file_id, d.name, told, 0, None, None, None, f"error:{type(e).__name__}:{e}"[:120]))
                 yield _event_batch(rows)
@@ -250,6 +228,29 @@ def detect(recordings: DataFrame, names: list[str], params: dict[str, dict] | No
     return _over(recordings, run, EVENTS, render)
 
 
+def detect_files(files: DataFrame, names: list[str], params: dict[str, dict] | None = None, target_sr: int | None = None, chunk_s: float | None = None, overlap_s: float = 0.0) -> DataFrame:
+    """detect() over files (file_id, path): tasks open the files and read them chunk by chunk, at target_sr if given;
+    samples never stand in rows. A file that cannot be read gives one row with its error."""
+    from tidemark.sources import audio
+
+    chosen = [get_detector(n, **(params or {}).get(n, {})) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                for d in chosen:
+                    told = [(k, str(v)) for k, v in asdict(d).items()]
+                    try:
+                        with audio.Recording(path, target_sr) as r:
+                            rows += [(file_id, d.name, told, k, a, b, s, "ok") for k, (a, b, s) in enumerate(detect_chunked(d, r.read, r.frames, r.rate, chunk_s, overlap_s))]
+                    except (ValueError, ArithmeticError, IndexError, TypeError, OSError) as e:
+                        rows.append((file_id, d.name, told, 0, None, None, None, str(e) if str(e) == "unsupported_format" else f"error:{type(e).__name__}:{e}"[:120]))
+                yield _event_batch(rows)
+
+    return files.select("file_id", "path").mapInArrow(run, EVENTS)
+
+
 def salience_curves(recordings: DataFrame, name: str, render: Render | None = None, **params) -> DataFrame:
     """(file_id, frame_idx, time_s, value) of a detector's curve."""
     d = get_detector(name, **params)
@@ -267,23 +268,48 @@ def salience_curves(recordings: DataFrame, name: str, render: Render | None = No
     return _over(recordings, run, schema, render)
 
 
+GRID = "seg_id string, wav_id string, k int, start double, `end` double, n_events long, max_score double, sum_score double"
+
+
+def _grid_batch(d: Detector, wav_id: str, read: dsp.Reader, n: int, sr: int, window_s: float) -> pa.RecordBatch:
+    total = n / sr if sr else 0.0
+    spans = [(0.0, total)] if total < window_s else [(k * window_s, (k + 1) * window_s) for k in range(int(total // window_s))]
+    rows = []
+    for k, (a, b) in enumerate(spans):
+        scores = [s for *_, s in d.detect(read(int(round(a * sr)), min(n, int(round(b * sr)))), sr)]
+        rows.append((f"{wav_id}-{k:09d}", wav_id, k, a, b, len(scores), max(scores, default=0.0), float(sum(scores))))
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seg_id", "wav_id", "k", "start", "end", "n_events", "max_score", "sum_score"])
+
+
 def score_windows(recordings: DataFrame, name: str = "maad_roi", window_s: float = 10.0, render: Render | None = None, **params) -> DataFrame:
     """(seg_id, wav_id, k, start, end, n_events, max_score, sum_score) for each grid window, the detector being run on
     each window by itself."""
     d = get_detector(name, **params)
-    schema = "seg_id string, wav_id string, k int, start double, `end` double, n_events long, max_score double, sum_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for wav_id, sr, x in zip(batch.column("file_id").to_pylist(), batch.column("sr").to_pylist(), batch.column("samples"), strict=True):
                 x = np.asarray(x.values, np.float32)
-                total = len(x) / sr if sr else 0.0
-                spans = [(0.0, total)] if total < window_s else [(k * window_s, (k + 1) * window_s) for k in range(int(total // window_s))]
-                rows = []
-                for k, (a, b) in enumerate(spans):
-                    scores = [s for *_, s in d.detect(x[int(round(a * sr)) : int(round(b * sr))], sr)]
-                    rows.append((f"{wav_id}-{k:09d}", wav_id, k, a, b, len(scores), max(scores, default=0.0), float(sum(scores))))
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seg_id", "wav_id", "k", "start", "end", "n_events", "max_score", "sum_score"])
+                yield _grid_batch(d, wav_id, lambda a, b, x=x: x[a:b], len(x), sr, window_s)
 
-    return _over(recordings, run, schema, render)
+    return _over(recordings, run, GRID, render)
+
+
+def score_files(files: DataFrame, name: str = "maad_roi", window_s: float = 10.0, target_sr: int | None = None, **params) -> DataFrame:
+    """score_windows() over files (file_id, path), read window by window. Files that cannot be read are left out."""
+    from tidemark.sources import audio
+
+    d = get_detector(name, **params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wav_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    r = audio.Recording(path, target_sr)
+                except (ValueError, OSError):
+                    continue
+                with r:
+                    yield _grid_batch(d, wav_id, r.read, r.frames, r.rate, window_s)
+
+    return files.select("file_id", "path").mapInArrow(run, GRID)

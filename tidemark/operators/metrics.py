@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.intervals import prf, ratio
 from tidemark.operators.matching import flagged
+from tidemark.operators.session import cut
 
 BANDS = 64
 ONE_TASK = 100_000
@@ -22,7 +23,7 @@ def running(rows: DataFrame, by: str, sums: list[str]) -> DataFrame:
     """rows (one per value of `by`) with cum_<name>: sums over rows of the same or a greater `by`.
 
     Up to ONE_TASK rows are summed in one window; more are dealt to bands first, with the same result."""
-    rows = rows.persist()  # read for the limits and again for the sums
+    rows = cut(rows)  # read for the limits and again for the sums
     said = rows.agg(F.percentile_approx(by, [k / BANDS for k in range(1, BANDS)], 1000).alias("q"), F.count("*").alias("n")).first()
     if said.n <= ONE_TASK:
         order = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
@@ -80,23 +81,26 @@ def macro_f1(flags: DataFrame, gts: DataFrame, files: DataFrame | None = None) -
     return both.agg(F.coalesce(F.avg(F.when(none, F.lit(1.0)).otherwise(f1)), F.lit(0.0)).alias("macro_f1"))
 
 
+#: Bins of a stretch of a file. A stretch has no more edges than bins, so its work grows with its spans alone.
+STRETCH = 256
+
+
 def covered_bins(preds: DataFrame, durations: DataFrame, grid_s: float = 0.01) -> DataFrame:
     """(score, bins): time bins by the greatest score of the predictions over them, within the files of durations.
 
-    Bins are integers; predictions of a file are cut at each other's edges, so an hour-long event is one row per
-    elementary stretch instead of one per bin."""
+    Bins are integers. Predictions are cut at the limits of stretches and, within a stretch, at each other's edges, so
+    an hour-long event is one row per elementary part instead of one per bin, and no file is sorted as a whole."""
     n = F.greatest(F.lit(1), F.rint(F.col("duration_s") / grid_s).cast("long"))
     spans = preds.join(durations.withColumn("_n", n), "file_id").select(
         "file_id", F.greatest(F.lit(0), F.floor(F.col("onset_s") / grid_s)).cast("long").alias("a"), F.least(F.col("_n"), F.ceil(F.col("offset_s") / grid_s)).cast("long").alias("b"), "score"
     ).where("b > a")
     spans = spans.groupBy("file_id", "a", "b").agg(F.max("score").alias("score"))
-    # Chains of overlapping spans; edges cut only spans of their own chain.
-    order = Window.partitionBy("file_id").orderBy("a", "b")
-    spans = spans.withColumn("_e", F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("chain", F.sum(F.when(F.col("_e").isNull() | (F.col("a") >= F.col("_e")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = spans.select("file_id", "chain", F.explode(F.array("a", "b")).alias("x")).distinct()
-    edges = edges.withColumn("y", F.lead("x").over(Window.partitionBy("file_id", "chain").orderBy("x"))).where("y IS NOT NULL")
-    top = edges.join(spans, ["file_id", "chain"]).where("a <= x AND y <= b").groupBy("file_id", "x", "y").agg(F.max("score").alias("score"))
+    cell = F.explode(F.sequence(F.floor(F.col("a") / STRETCH), F.floor((F.col("b") - 1) / STRETCH))).alias("cell")
+    spans = spans.select("file_id", "a", "b", "score", cell).select("file_id", "cell", F.greatest("a", F.col("cell") * STRETCH).alias("a"), F.least("b", (F.col("cell") + 1) * STRETCH).alias("b"), "score")
+    spans = spans.groupBy("file_id", "cell", "a", "b").agg(F.max("score").alias("score"))
+    edges = spans.select("file_id", "cell", F.explode(F.array("a", "b")).alias("x")).distinct()
+    edges = edges.withColumn("y", F.lead("x").over(Window.partitionBy("file_id", "cell").orderBy("x"))).where("y IS NOT NULL")
+    top = edges.join(spans, ["file_id", "cell"]).where("a <= x AND y <= b").groupBy("file_id", "cell", "x", "y").agg(F.max("score").alias("score"))
     return top.groupBy("score").agg(F.sum(F.col("y") - F.col("x")).alias("bins"))
 
 
@@ -131,7 +135,7 @@ def selection(flags: DataFrame, durations: DataFrame, n_gt: int, budget: float =
 def evaluate(preds: DataFrame, gts: DataFrame, matcher, durations: DataFrame | None = None, budget: float = 0.15, grid_s: float = 0.01) -> DataFrame:
     """One row with every score of preds against gts, both (file_id, ord, onset_s, offset_s, score)."""
     n_gt = gts.count()
-    flags = flagged(preds, gts, matcher).persist()
+    flags = cut(flagged(preds, gts, matcher))  # several sweeps read it
     points = sweep(flags, n_gt)
     row = F.lit(matcher.name).alias("matcher")
     none = preds.sparkSession.createDataFrame([], "file_id string, duration_s double")

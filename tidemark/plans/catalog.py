@@ -12,6 +12,7 @@ from tidemark.functions import dsp
 from tidemark.functions import intervals as iv
 from tidemark.operators import alignment, detectors, evalset, grid, islands, metrics, provenance
 from tidemark.operators.matching import CollarMatcher, IoUMatcher, candidates, flagged, greedy_matches
+from tidemark.operators.session import cut
 from tidemark.plans import inputs as src
 from tidemark.sources import tables
 from tidemark.streaming import windows as streams
@@ -105,7 +106,7 @@ def greedy_match_collar(spark, sf_dir):
 def _flags(spark, sf_dir):
     gts = src.truth(spark, sf_dir)
     # several sweeps read the flags: matched once
-    return flagged(src.predictions(spark, sf_dir), gts, IOU).persist(), gts, gts.count()
+    return cut(flagged(src.predictions(spark, sf_dir), gts, IOU)), gts, gts.count()
 
 
 @query(_matches("iou") + " SELECT round(sum(tp / n_gt * precision), 6) AS ap FROM pr")
@@ -330,50 +331,58 @@ def resume_pending(spark, sf_dir):
     return provenance.pending(cuts, done, ("cut_file",))
 
 
-_MASTERS = [("s1", "61025", "61025ch1 44kHz.wav"), ("s1", "61025", "61025ch2.wav"), ("s1", "61025", "61025 hi1.WAV"), ("s1", "61025", "6102H3.wav"), ("s2", "72011", "72011A.wav"), ("s2", "72011", "72011.wav"), ("s2", "72011", "ch 1.wav"), ("s3", "80001", "80001 CH 2 44 khz.wav")]
-_CUTS = [("s1", "61025", "610250A1", 44100), ("s1", "61025", "610250B2", 96000), ("s1", "61025", "6102X", 44100), ("s2", "72011", "72011A07", 22050), ("s2", "72011", "7201", 22050), ("s4", "90000", "90000A", 44100), ("s3", "80001", "80001", 48000)]
+# A customer is a master channel, four to a tape; an order is a cut of its customer's tape. The same expressions make both sides.
+_TAPE = "lpad(CAST(CAST(floor({} / 4) AS BIGINT) AS VARCHAR(9)), 5, '0')"
+_MASTER = {
+    "ord": "CAST(c_custkey AS BIGINT)", "species": "'s' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) % 10 AS VARCHAR(9))", "tape_id": _TAPE.format("c_custkey"),
+    "file": f"CASE c_custkey % 8 WHEN 3 THEN substr({_TAPE.format('c_custkey')}, 1, 4) ELSE {_TAPE.format('c_custkey')} END || CASE c_custkey % 8 WHEN 0 THEN 'ch1 44kHz.wav' WHEN 1 THEN 'ch2.wav' WHEN 2 THEN ' hi1.WAV' WHEN 3 THEN 'H3.wav' WHEN 4 THEN '.wav' WHEN 5 THEN ' CH 2 44 khz.wav' WHEN 6 THEN 'A.wav' ELSE 'ch 1.wav' END",
+}
+_CUT = {
+    "species": "'s' || CASE WHEN o_orderkey % 11 = 0 THEN '99' ELSE CAST(CAST(floor(o_custkey / 4) AS BIGINT) % 10 AS VARCHAR(9)) END", "tape_id": _TAPE.format("o_custkey"),
+    "cut_base": f"{_TAPE.format('o_custkey')} || CASE o_orderkey % 3 WHEN 0 THEN 'A' ELSE 'B' END || CAST(o_orderkey AS VARCHAR(12))", "cut_sr": "CASE o_orderkey % 4 WHEN 0 THEN 44100 WHEN 1 THEN 96000 WHEN 2 THEN 22050 ELSE 48000 END",
+}
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+def _made(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} AS {c}" for c, e in columns.items())
 
 
-_NAMES_SQL = f"""m0 AS (SELECT * FROM (VALUES {_values([(i, *r) for i, r in enumerate(_MASTERS)])}) t(ord, species, tape_id, file)),
+_NAMES_SQL = f"""m0 AS (SELECT {_made(_MASTER)} FROM customer),
 m1 AS (SELECT *, regexp_replace(file, '\\.wav$', '', 'i') AS name FROM m0),
 m2 AS (SELECT *, lower(regexp_extract(name, '\\s*(ch|hi|h)\\s*([0-9])\\s*(44\\s*k?hz)?\\s*$', 1, 'i')) AS kind, regexp_extract(name, '\\s*(ch|hi|h)\\s*([0-9])\\s*(44\\s*k?hz)?\\s*$', 3, 'i') <> '' AS khz, trim(regexp_replace(name, '\\s*(ch|hi|h)\\s*([0-9])\\s*(44\\s*k?hz)?\\s*$', '', 'i')) AS stem FROM m1),
 ms AS (SELECT ord, species, tape_id, file, stem, kind, kind IN ('hi', 'h') AS prefers_high, CASE WHEN kind = 'ch' AND khz THEN 0 WHEN kind = 'ch' THEN 1 WHEN kind = 'hi' THEN 2 WHEN kind = 'h' THEN 3 ELSE 4 END AS rank FROM m2),
-cuts AS (SELECT * FROM (VALUES {_values(_CUTS)}) t(species, tape_id, cut_base, cut_sr)),
+cuts AS (SELECT {_made(_CUT)} FROM orders),
 pr AS (SELECT c.*, file, stem, prefers_high, rank, ord FROM cuts c JOIN ms USING (species, tape_id) WHERE stem <> '' AND starts_with(cut_base, stem))"""
 
 
-def _masters(spark):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_MASTERS)], "ord long, species string, tape_id string, file string")
+def _masters(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {c}" for c, e in _MASTER.items()))
     return rows.withColumns(iv.master_name(F.col("file")))
 
 
-def _cuts(spark):
-    return spark.createDataFrame(_CUTS, "species string, tape_id string, cut_base string, cut_sr int")
+def _cuts(spark, sf_dir):
+    return src.table(spark, sf_dir, "orders").selectExpr(*(f"{e} AS {c}" for c, e in _CUT.items()))
 
 
 @query(f"WITH {_NAMES_SQL} SELECT file, stem, kind, prefers_high, rank FROM ms")
 def master_name_parse(spark, sf_dir):
-    return _masters(spark).select("file", "stem", "kind", "prefers_high", "rank")
+    return _masters(spark, sf_dir).select("file", "stem", "kind", "prefers_high", "rank")
 
 
 @query(f"""WITH {_NAMES_SQL}, lg AS (SELECT *, max(length(stem)) OVER (PARTITION BY species, tape_id, cut_base) AS most FROM pr)
     SELECT cut_base, file, row_number() OVER (PARTITION BY species, tape_id, cut_base ORDER BY CASE WHEN prefers_high <> (cut_sr > 48000) THEN 1 ELSE 0 END, rank, ord) AS choice FROM lg WHERE length(stem) = most""")
 def channel_resolve(spark, sf_dir):
-    return provenance.channels(_cuts(spark), _masters(spark)).select("cut_base", "file", "choice")
+    return provenance.channels(_cuts(spark, sf_dir), _masters(spark, sf_dir)).select("cut_base", "file", "choice")
 
 
 @query(f"WITH {_NAMES_SQL} SELECT species, tape_id, cut_base, 'no_master' AS status FROM cuts ANTI JOIN pr USING (species, tape_id, cut_base)")
 def orphans(spark, sf_dir):
-    return provenance.orphans(_cuts(spark), _masters(spark)).select("species", "tape_id", "cut_base", "status")
+    return provenance.orphans(_cuts(spark, sf_dir), _masters(spark, sf_dir)).select("species", "tape_id", "cut_base", "status")
 
 
 @query(f"WITH {_NAMES_SQL} SELECT cut_base, '19' || substr(tape_id, 1, 2) AS year, least(48000, cut_sr, 44100) AS corr_sr FROM cuts")
 def tape_and_rate(spark, sf_dir):
-    return _cuts(spark).select("cut_base", iv.tape_year(F.col("tape_id")).alias("year"), iv.correlation_rate(F.lit(48000), F.col("cut_sr"), F.lit(44100)).alias("corr_sr"))
+    return _cuts(spark, sf_dir).select("cut_base", iv.tape_year(F.col("tape_id")).alias("year"), iv.correlation_rate(F.lit(48000), F.col("cut_sr"), F.lit(44100)).alias("corr_sr"))
 
 
 # --- evaluation sets --------------------------------------------------------------------------------------------
@@ -555,25 +564,36 @@ def score_windows(spark, sf_dir):
 
 # --- text tables ------------------------------------------------------------------------------------------------
 
-_TABLE = [("recA", "0.10", "0.80", ""), (" recB ", "1.00", "1.50", "0.7"), ("", "2", "3", None)]
+# Tables of strings as foreign tools write them, made of events and pages; the same expressions make both sides.
+_SELECTION_TABLE = {
+    "Filename": "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || CAST(user_id AS VARCHAR(12)) || ' ' ELSE CAST(user_id AS VARCHAR(12)) END",
+    "Begin Time (s)": "CAST(event_id AS VARCHAR(12)) || '.10'", "STOP": "CAST(event_id + 1 AS VARCHAR(12)) || '.50'",
+    "Conf": "CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE CAST(event_id % 7 AS VARCHAR(12)) || '.5' END",
+}
+_NOTES = {
+    "master_id": "CAST(user_id AS VARCHAR(12))", "start_s": "CASE event_id % 7 WHEN 0 THEN 'x' ELSE CAST(event_id AS VARCHAR(12)) || '.25' END",
+    "end_s": "CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR(12)) || '.25' ELSE CAST(event_id + 2 AS VARCHAR(12)) END", "ebird_code": "CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END",
+}
+_LINE = "CASE page_id % 6 WHEN 0 THEN '   ' WHEN 1 THEN '  id' || CAST(page_id AS VARCHAR(12)) || '\t ' || url ELSE 'id' || CAST(page_id AS VARCHAR(12)) || ' ' || url || ' 44kHz.wav' END"
 
 
-@query("SELECT * FROM (VALUES ('recA', 0.1::DOUBLE, 0.8::DOUBLE, 1.0::DOUBLE), ('recB', 1.0, 1.5, 0.7), ('table', 2.0, 3.0, 1.0)) t(file_id, onset_s, offset_s, score)")
+def _strings(spark, sf_dir, name: str, columns: dict[str, str]):
+    return src.table(spark, sf_dir, name).selectExpr(*(f"{e} AS `{c}`" for c, e in columns.items()))
+
+
+@query("""SELECT CASE event_id % 5 WHEN 0 THEN 'table' ELSE CAST(user_id AS VARCHAR) END AS file_id, event_id + 0.1::DOUBLE AS onset_s, event_id + 1.5::DOUBLE AS offset_s, CASE WHEN event_id % 4 < 2 THEN 1.0 ELSE event_id % 7 + 0.5::DOUBLE END AS score FROM events""")
 def selection_table_read(spark, sf_dir):
-    rows = spark.createDataFrame(_TABLE, "Filename string, `Begin Time (s)` string, STOP string, Conf string")
-    return tables.selection_columns(rows, F.lit("table"))
+    return tables.selection_columns(_strings(spark, sf_dir, "events", _SELECTION_TABLE), F.lit("table"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'id1', '/a/b/70017ch2 44kHz.wav'), (2, 'id2', '/c.wav')) t(ord, wav_id, path)")
+@query("SELECT CAST(page_id AS BIGINT) AS ord, 'id' || page_id AS wav_id, CASE page_id % 6 WHEN 1 THEN url ELSE url || ' 44kHz.wav' END AS path FROM pages WHERE page_id % 6 <> 0")
 def scp_read(spark, sf_dir):
-    lines = [(0, "id1 /a/b/70017ch2 44kHz.wav"), (1, "   "), (2, "id2\t /c.wav")]
-    return tables.recording_lines(spark.createDataFrame(lines, "ord long, value string"))
+    return tables.recording_lines(_strings(spark, sf_dir, "pages", {"ord": "CAST(page_id AS BIGINT)", "value": _LINE}))
 
 
-@query("SELECT * FROM (VALUES ('m1', 1.0::DOUBLE, 1.4::DOUBLE, 'A'), ('m1', 3.0, 3.6, '')) t(master_id, start_s, end_s, ebird_code)")
+@query("SELECT CAST(user_id AS VARCHAR) AS master_id, event_id + 0.25::DOUBLE AS start_s, event_id + 2.0::DOUBLE AS end_s, CASE event_id % 3 WHEN 0 THEN '' ELSE event_type END AS ebird_code FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0")
 def annotations_read(spark, sf_dir):
-    rows = [("m1", "1", "1.4", "A"), ("m1", "3", "3.6", None), ("m2", "x", "3", "B"), ("m2", "4", "4", "B")]
-    return tables.annotation_columns(spark.createDataFrame(rows, "master_id string, start_s string, end_s string, ebird_code string"))
+    return tables.annotation_columns(_strings(spark, sf_dir, "events", _NOTES))
 
 
 @query("SELECT count(DISTINCT user_id) AS n_masters, count(*) AS n_events FROM events")

@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsp
 
+HELD = 16 << 20
 EXTENSIONS = ("wav", "flac", "ogg", "aif", "aiff")
 
 
-def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_id, path) of the audio files beneath folder, by base name; two files of one name are an error."""
+def catalogue(spark: SparkSession, folder: str, first: bool = False) -> DataFrame:
+    """(file_id, path) of the audio files beneath folder, by base name; two files of one name are an error, or the first
+    path in order is taken."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     found = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*EXTENSIONS)).withColumn("file_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    if first:
+        return found.groupBy("file_id").agg(F.min("path").alias("path"))
     same = found.groupBy("file_id").count().where("count > 1").first()
     if same:
         raise ValueError(f"more than one recording is named {same.file_id!r}")
@@ -101,6 +105,36 @@ def read(path: str, first: int = 0, last: int | None = None) -> tuple[np.ndarray
     return samples(raw[: len(raw) // wide * wide], h), h["rate"]
 
 
+class Recording:
+    """An open WAV file, read by spans of frames at its own rate or another one."""
+
+    def __init__(self, path: str, rate: int | None = None) -> None:
+        self.stream = _open(path)
+        try:
+            self.header = header(self.stream)
+        except BaseException:
+            self.stream.close()
+            raise
+        self.own = self.header["rate"]
+        self.rate = rate or self.own
+        self.frames = dsp.resampled_length(self.header["frames"], self.own, self.rate)
+
+    def __enter__(self) -> Recording:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+
+    def raw(self, first: int, last: int) -> np.ndarray:
+        wide = self.header["channels"] * self.header["bits"] // 8
+        self.stream.seek(self.header["data"] + first * wide)
+        got = self.stream.read(max(0, min(last, self.header["frames"]) - first) * wide)
+        return samples(got[: len(got) // wide * wide], self.header)
+
+    def read(self, first: int, last: int) -> np.ndarray:
+        return dsp.resample_span(self.raw, self.header["frames"], self.own, self.rate, first, min(last, self.frames))
+
+
 def region(path: str, t0: float, t1: float, rate: int) -> np.ndarray:
     """[t0, t1) seconds at a rate, zeros beyond the ends, exactly round((t1 - t0) * rate) samples."""
     with _open(path) as f:
@@ -112,7 +146,8 @@ def region(path: str, t0: float, t1: float, rate: int) -> np.ndarray:
 
 
 def _each(df: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
-    """One output row per input row from work(*values) -> tuple; errors become the status of a row of nulls."""
+    """One output row per input row from work(*values) -> tuple; errors become the status of a row of nulls. Rows go out
+    in batches of HELD bytes at most, or one row that is larger."""
     names = [c.strip().split()[0] for c in schema.split(", ")]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -120,13 +155,23 @@ def _each(df: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+
         for batch in batches:
+            rows, held = [], 0
             for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 try:
                     row = (*work(*values), "ok")
                 except (ValueError, OSError, struct.error) as e:
                     row = (values[0], *[None] * (len(names) - 2), str(e) if str(e) == "unsupported_format" else f"error:{type(e).__name__}:{e}"[:120])
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, target, strict=True)], schema=target)
+                rows.append(row)
+                held += sum(v.nbytes for v in row if isinstance(v, np.ndarray))
+                if held > HELD or len(rows) >= 1000:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -128,9 +128,29 @@ def write_table(rows: DataFrame, path: str, sep: str = "\t", partition_by: tuple
     (out.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic") if partition_by else out).csv(path)
 
 
-def write_card(spark: SparkSession, path: str, title: str, facts: dict[str, object]) -> None:
-    """A short text that says what a data set holds."""
-    lines = [f"# {title}", "", *(f"- {k}: {v}" for k, v in facts.items())]
+#: The columns of a results table; how those that are no counts are written.
+RESULTS = "detector matcher n_pred n_gt ap max_f1 precision_at_max_f1 recall_at_max_f1 threshold_at_max_f1 precision recall f1 macro_f1 tp fp fn selection_rate recall_at_sel_budget auc_recall_sel op_threshold op_recall op_selection".split()
+THRESHOLDS = ("threshold_at_max_f1", "op_threshold")
+COUNTS = ("detector", "matcher", "n_pred", "n_gt", "tp", "fp", "fn")
+
+
+def result_text(results: DataFrame) -> DataFrame:
+    """Scores with six decimals, thresholds with six significant digits."""
+    short = general(6)
+    return results.select(*(F.col(c) if c in COUNTS else (short(c) if c in THRESHOLDS else fixed(F.col(c), 6)).alias(c) for c in RESULTS))
+
+
+def write_truth(spans: DataFrame, path: str) -> None:
+    """file_id, begin and end with four decimals."""
+    out = spans.select("file_id", fixed(F.col("onset_s"), 4).alias("Begin Time (s)"), fixed(F.col("offset_s"), 4).alias("End Time (s)"))
+    out.write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
+
+
+def write_card(spark: SparkSession, path: str, title: str, facts: dict[str, object], notes: dict[str, list[str]] | None = None) -> None:
+    """A text that says what a data set holds, how it was made and what to mind."""
+    lines = [f"# {title}", "", "## Contents", "", *(f"- {k}: {v}" for k, v in facts.items())]
+    for heading, items in (notes or {}).items():
+        lines += ["", f"## {heading}", "", *(f"- {x}" for x in items)]
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
