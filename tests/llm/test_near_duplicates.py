@@ -78,6 +78,17 @@ def test_links_of_fingerprints(spark, hot, monkeypatch):
     assert components(len(fps), got) == components(len(fps), pairs)
 
 
+def test_finer_masks_miss_no_partner():
+    rng = np.random.default_rng(1)
+    mask = 0b1011 << 30 | 0xFFF
+    parts = simhash.finer(mask)
+    assert len(parts) == 4 and all(p & mask == mask for p in parts)
+    assert sum((p ^ mask).bit_count() for p in parts) == 64 - mask.bit_count()
+    for _ in range(200):
+        off = sum(1 << int(b) for b in set(rng.choice([b for b in range(64) if not mask >> b & 1], 3)))
+        assert any(off & p == 0 for p in parts)
+
+
 def test_documents(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(5, long), (3, long + " end"), (9, long.upper()), (4, None), (2, ""), (8, " \t "), (7, "one"), (7, "one"), (None, "one"), (1, "quite another text here"), (None, "alone in the world")]

@@ -2,8 +2,9 @@
 
 Equal fingerprints are one node from the start. Two fingerprints at 3 or fewer differing bits agree wholly on at
 least two of five bands, so each fingerprint is dealt to ten band pairs (keys of 25 or 26 bits) and meets every
-partner there; a key that holds more than HOT fingerprints is dealt again by four sub-bands of its other bits, one of
-which the partners must share. Within a key, the distances of every fingerprint to the reference fingerprints are
+partner there. A key that holds more than HOT fingerprints is dealt again by four parts of its other bits, one of which
+partners must share, and so on until no key is hot or no more than LAST bits are free, which 2 ** LAST different
+fingerprints fill. Within a key, the distances of every fingerprint to the reference fingerprints are
 computed once; a pair whose coordinates differ by more than 3 anywhere is discarded (triangle inequality), and
 survivors are verified by their own distance. Only a spanning forest of a key's links leaves the task.
 """
@@ -16,7 +17,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -28,6 +29,7 @@ SHINGLE = 3
 SEED = 42
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width
 HOT = 1024
+LAST = 14
 PIVOTS = 32
 #: Rows that a task gathers before it compares; a key's rows stay together.
 CHUNK = 100_000
@@ -137,35 +139,39 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(True)
 
 
-def _bits(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def finer(mask: int) -> list[int]:
+    """Four masks that hold mask's bits and a quarter of the others each."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // 4 for k in range(5)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def _joined(fp: Column, spans: list[tuple[int, int]], head: int) -> Column:
-    """The bits of spans behind a number, as one long."""
-    return reduce(lambda out, s: F.shiftleft(out, s[1]).bitwiseOR(_bits(fp, *s)), spans, F.lit(head).cast("long"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, per key, of all pairs of fingerprints (column fp, each once) within BITS bits."""
-    spark, fp = distinct.sparkSession, F.col("fp")
-    n = partitions(spark)
-    choices = list(combinations(range(len(BANDS)), 2))
-    keyed = distinct.select("fp", F.posexplode(F.array(*(_joined(fp, [BANDS[i] for i in c], 1 + k) for k, c in enumerate(choices)))).alias("choice", "key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    keyed = keyed.join(hot, "key", "left")
-
-    def again(choice: tuple[int, ...]) -> Column:
-        rest = [BANDS[i] for i in range(len(BANDS)) if i not in choice]
-        width = sum(w for _, w in rest)
-        other = _joined(fp, rest, 0)
-        edges = [width * k // 4 for k in range(5)]
-        # two bits name the sub-band, ten hold it
-        return F.array(*(F.shiftleft(F.shiftleft(F.col("key"), 2).bitwiseOR(F.lit(k).cast("long")), 10).bitwiseOR(_bits(other, a, b - a)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-
-    finer = reduce(lambda out, k: out.when(F.col("choice") == k, again(choices[k])), range(1, len(choices)), F.when(F.col("choice") == 0, again(choices[0])))
-    dealt = keyed.select("fp", F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"))
-    return dealt.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
+    spark = distinct.sparkSession
+    bands = [((1 << width) - 1) << first for first, width in BANDS]
+    masks = [a | b for a, b in combinations(bands, 2)]
+    # fingerprints meet where they agree on all bits of a mask: a key is a hash of the mask and these bits
+    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask"))
+    key, done = F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), []
+    while True:
+        keys = keyed.select("fp", "mask", key)
+        hot = keys.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+        if all(64 - m.bit_count() <= LAST for m in masks) or hot.isEmpty():
+            done.append(keys.select("key", "fp"))
+            break
+        told = cut(keys.join(hot, "key", "left"))
+        done.append(told.where("hot IS NULL").select("key", "fp"))
+        # as many rows as there are masks: ten, and four times as many each time
+        parts = spark.createDataFrame([(_signed(m), [_signed(x) for x in finer(m)]) for m in masks], "mask long, parts array<long>")
+        keyed = told.where("hot").join(F.broadcast(parts), "mask").select("fp", F.explode("parts").alias("mask"))
+        masks = [x for m in masks for x in finer(m)]
+    dealt = reduce(DataFrame.union, done)
+    return dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
 
 
 def grouped(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -194,7 +200,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Rows of equal id and text are reduced to one by each task before they are shuffled, once, for both steps."""
     first = grouped(docs, text, key).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("r"))
-    own, content = fresh(docs.columns, "own", "content")
+    none, own, content = keys = fresh(docs.columns, "none", "own", "content")
     # the same hash as fingerprints() takes, of the same bytes, row by row beside the other columns
     at = docs.columns.index(text)
 
@@ -206,8 +212,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said)], names=[*batch.schema.names, content])
 
     rows = docs.mapInArrow(marked, StructType([*docs.schema.fields, StructField(content, LongType())]))
-    # a null id is told from others by a mark, as keys of a join are never null
-    rows = rows.withColumn(own, F.struct(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id")))
-    rows = rows.dropDuplicates([own, content])
-    wanted = first.select(F.struct("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("id")).alias(own), F.col("r.content").alias(content))
-    return rows.join(wanted, [own, content], "left_semi").select(*docs.columns)
+    # a null id is told from others by a mark, as keys of a join are never null; plain columns of one type on both sides,
+    # so that the join finds the rows where the reduction has put them
+    rows = rows.withColumn(none, F.col(key).isNull()).withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))).dropDuplicates(keys)
+    wanted = first.select(F.col("r.none").alias(none), F.coalesce("r.doc_id", F.lit(0).cast("long")).alias(own), F.col("r.content").alias(content))
+    return rows.join(wanted, keys, "left_semi").select(*docs.columns)
