@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from tidemark.operators import islands, matching, metrics, session
+from tidemark.operators import evalset, islands, matching, metrics, session
 from tidemark.operators.matching import CollarMatcher, IoUMatcher, flagged, greedy_matches
 
 EVENT = "file_id string, ord long, onset_s double, offset_s double, score double"
@@ -169,3 +170,23 @@ def test_covered_bins_are_those_of_an_array(spark, stretch, monkeypatch):
     known = spark.createDataFrame([("a", 8.0), ("b", 8.0)], "file_id string, duration_s double")
     got = metrics.covered_bins(spark.createDataFrame(rows, SCHEMA), known, 0.1).collect()
     assert {r.score: r.bins for r in got} == want
+
+
+def test_negatives_are_those_of_plain_draws(spark):
+    rng = random.Random(2)
+    events = [(m, a := rng.random() * 300, a + rng.random() * 5) for m in "ab" for _ in range(20)] + [("full", 0.0, 400.0)]
+    needs = [("a", 400.0, 8), ("b", 400.0, 500), ("full", 400.0, 2), ("short", 3.0, 2), ("quiet", 90.0, 3)]
+    got = evalset.draw_negatives(spark.createDataFrame(needs, "master string, total_s double, n int"), spark.createDataFrame(events, "master string, start_s double, end_s double"), 5.0, 1.0, 4).collect()
+    want = []
+    for m, total, n in needs:
+        if total <= 5.0:
+            continue
+        draws, taken = np.random.default_rng([4, *m.encode()]), []
+        for _ in range(400 * n):
+            if len(taken) == n:
+                break
+            t = float(draws.uniform(0, total - 5.0))
+            if not any(f == m and b > t - 1.0 and a < t + 6.0 for f, a, b in events) and all(abs(t - x) >= 5.0 for x in taken):
+                taken.append(t)
+        want += [(m, k, t) for k, t in enumerate(taken)]
+    assert sorted(map(tuple, got)) == sorted(want) and len([w for w in want if w[0] == "quiet"]) == 3

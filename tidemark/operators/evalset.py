@@ -4,6 +4,8 @@ Draws come from hashes of a seed and the row's own key, so they are the same how
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,15 +90,17 @@ def draw_negatives(needs: DataFrame, events: DataFrame, clip_s: float, margin_s:
                 continue
             rng = np.random.default_rng([seed, *master.encode()])
             taken: list[float] = []
+            near: list[float] = []  # the same in order: only the neighbours of a draw can be too close to it
             for _ in range(400 * n):
                 if len(taken) == n:
                     break
                 t0 = float(rng.uniform(0, total - clip_s))
                 # busy spans are disjoint: the last that begins before the window's end is the only one to look at
-                i = int(np.searchsorted(ons, t0 + clip_s + margin_s, "left")) - 1
-                if (i >= 0 and offs[i] > t0 - margin_s) or any(abs(t0 - a) < clip_s for a in taken):
+                i, j = int(np.searchsorted(ons, t0 + clip_s + margin_s, "left")) - 1, bisect(near, t0)
+                if (i >= 0 and offs[i] > t0 - margin_s) or any(abs(t0 - a) < clip_s for a in near[max(0, j - 1) : j + 1]):
                     continue
                 taken.append(t0)
+                near.insert(j, t0)
             out += [(master, k, t) for k, t in enumerate(taken)]
         m, k, t = zip(*out, strict=True) if out else ([], [], [])
         return pa.table({"master": pa.array(m, pa.string()), "k": pa.array(k, pa.int32()), "t0": pa.array(t, pa.float64())})
