@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import langid, license_rules, licenses, packing, pii, queries, warc
+from tidemark.llm import langid, license_rules, licenses, packing, pii, queries, simhash, warc
 
 # --- 1 ----------------------------------------------------------------------------------------------------------
 
@@ -360,6 +360,15 @@ def test_pipeline(spark, sf):
     assert kept.columns == docs.columns and kept.count() >= 0.97 * docs.count()
     single = stage["near_duplicates"](spark, kept, sf).persist()
     assert single.columns == docs.columns and 0 < single.count() < kept.count()
+    # all pairs of fingerprints, and the least id of what hangs together
+    prints = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in kept.collect()}
+    up = {k: k for k in prints}
+    for a in sorted(prints):
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and up[a] != up[b]:
+                low, high = sorted((up[a], up[b]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(up.values()))
     clean = stage["personal_data"](spark, single, sf)
     assert clean.columns == docs.columns and clean.count() == single.count()
     assert clean.where(F.col("text").rlike(PLAIN["email"])).count() == 0

@@ -90,11 +90,13 @@ def _any(words: list[str]) -> str:
 
 
 GAZETTEER = {
-    "secret": rf"^{_any(KEY_HEADS)}", "ssn": r"^(?!078-05-1120|219-09-9999|123-45-6789)",
+    "secret": rf"^{_any(KEY_HEADS)}", "ssn": r"(?!)",
     "iban": "^(?:" + "|".join(rf"{land}(?:\x20?[A-Z0-9]){{{n - 2}}}$" for land, n in IBAN_LENGTHS.items()) + ")",
     "local_phone": rf"^\(?{_any(AREA_CODES)}", "obfuscated_email": rf"(?i)[\])]\x20?{_any(PROVIDERS)}(?![A-Za-z0-9])",
     "person": rf"\x20(?:{_any(FIRST_NAMES)}|{_any(SURNAMES)})(?!\p{{L}})",
 }
+#: Numbers that were printed in advertisements or stand in examples; words that are no keys.
+NOT_LISTED = {"ssn": r"^(?:078-05-1120|219-09-9999|123-45-6789|111-11-1111|457-55-5462)$", "local_phone": r"^\(?(?:123[\x20.)-]+456|[0-9]{3}\)?[\x20.-]000)", "secret": r"^(?:abcdef|0123456789|1234567890|x{8}|X{8})"}
 LEFT = {
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api.?key|access.?key|auth|bearer|credential|private.?key)\P{L}{0,8}$",
     "ssn": r"(?i)(?:ssn|social security|soc sec|tax id)[^.]{0,24}$",
@@ -134,7 +136,7 @@ def _votes(kind: str, m: Column, left: Column, right: Column) -> Column:
         out = F.when(up, "+")
         return (out.when(down, "-") if down is not None else out).otherwise("0")
 
-    return F.concat(vote(m.rlike(yes) & ~m.rlike(no), m.rlike(no)), vote(m.rlike(GAZETTEER[kind])), vote(left.rlike(LEFT[kind])), F.when(left.rlike(AGAINST[kind]), "-").otherwise("0"), vote(right.rlike(RIGHT[kind])))
+    return F.concat(vote(m.rlike(yes) & ~m.rlike(no), m.rlike(no)), vote(m.rlike(GAZETTEER[kind]), m.rlike(NOT_LISTED[kind]) if kind in NOT_LISTED else None), vote(left.rlike(LEFT[kind])), F.when(left.rlike(AGAINST[kind]), "-").otherwise("0"), vote(right.rlike(RIGHT[kind])))
 
 
 def _shape(m: Column) -> Column:
@@ -225,51 +227,35 @@ def candidates(docs: DataFrame, text: str, out: str) -> DataFrame:
     return docs.withColumn(out, _let(found, some))
 
 
-#: First guess of the probability of each vote, given that a candidate is personal data or is not; it counts as much as
-#: GUESS candidates, whatever the corpus.
-FIRST = {True: {"+": 0.6, "0": 0.35, "-": 0.05}, False: {"+": 0.1, "0": 0.6, "-": 0.3}}
-GUESS = 20.0
-#: Every labeler is taken to be better than chance: a vote is so many times as likely where it is right as where it is
-#: wrong, at least. Without this the two classes could come to stand for two sorts of true candidates.
-BETTER = 1.5
+#: First guess of how often a labeler's vote is right; it counts as much as GUESS candidates, whatever the corpus. Every
+#: labeler is taken to be better than chance, and none to be beyond doubt.
+RIGHT_AT_FIRST, GUESS, WORST, BEST = 0.8, 20.0, 0.6, 0.99
+#: What is taken to be the probability that a candidate is personal data for which and against which no labeler votes.
+UNSAID = 0.05
 
 
-def _better(says: dict[bool, dict[str, float]]) -> dict[bool, dict[str, float]]:
-    """Vote probabilities with both votes held better than chance; what is taken from a vote goes to abstaining."""
-    out = {side: dict(p) for side, p in says.items()}
-    for v, right in (("+", True), ("-", False)):
-        p, q = out[right][v], out[not right][v]
-        if p < BETTER * q:
-            mean = math.sqrt(p * q)
-            for side, x in ((right, mean * math.sqrt(BETTER)), (not right, mean / math.sqrt(BETTER))):
-                out[side]["0"] = max(1e-3, out[side]["0"] + out[side][v] - x)
-                out[side][v] = x
-    return {side: {v: x / sum(p.values()) for v, x in p.items()} for side, p in out.items()}
+def estimate(votes: dict[tuple[int, str], float], rounds: int = 60) -> tuple[dict[tuple[int, str], float], list[float]]:
+    """Expectation-maximisation over counts of (kind, votes): the probability that each is personal data, and how often
+    each labeler's votes are right. Each kind has a share of its own.
 
-
-def estimate(votes: dict[tuple[int, str], float], rounds: int = 60) -> tuple[dict[tuple[int, str], float], list]:
-    """Dawid and Skene's expectation-maximisation over counts of (kind, votes): the probability that each is personal
-    data, and of each labeler the probability of each vote given the truth. Each kind has a share of its own."""
+    Abstaining says nothing: where a corpus holds hardly any false candidates, the two classes would else come to stand
+    for two sorts of true ones, those with a cue and those without."""
     prior = {k: 0.5 for k, _ in votes}
-    says = [FIRST] * len(LABELERS)
-    truth: dict[tuple[int, str], float] = {}
+    right = [RIGHT_AT_FIRST] * len(LABELERS)
+    said = [q for q in votes if q[1].strip("0")]
+    truth = dict.fromkeys(votes, UNSAID)
     for _ in range(rounds):
-        for k, pattern in votes:
-            odds = math.log(prior[k]) - math.log(1 - prior[k]) + sum(math.log(says[j][True][v]) - math.log(says[j][False][v]) for j, v in enumerate(pattern))
-            truth[k, pattern] = 1 / (1 + math.exp(max(-500, min(500, -odds))))
+        for k, pattern in said:
+            odds = math.log(prior[k] / (1 - prior[k])) + sum((v == "+" or -1) * math.log(right[j] / (1 - right[j])) for j, v in enumerate(pattern) if v != "0")
+            truth[k, pattern] = 1 / (1 + math.exp(-odds))
         for k in prior:
-            mine = [(n, truth[q]) for q, n in votes.items() if q[0] == k]
-            prior[k] = (0.5 * GUESS + sum(n * p for n, p in mine)) / (GUESS + sum(n for n, _ in mine))
-        says = []
+            mine = [q for q in said if q[0] == k]
+            prior[k] = (0.5 * GUESS + sum(votes[q] * truth[q] for q in mine)) / (GUESS + sum(votes[q] for q in mine))
         for j in range(len(LABELERS)):
-            own = {}
-            for side in (True, False):
-                total = {v: GUESS * x for v, x in FIRST[side].items()}
-                for q, n in votes.items():
-                    total[q[1][j]] += n * (truth[q] if side else 1 - truth[q])
-                own[side] = {v: x / sum(total.values()) for v, x in total.items()}
-            says.append(_better(own))
-    return truth, says
+            mine = [q for q in said if q[1][j] != "0"]
+            good = sum(votes[q] * (truth[q] if q[1][j] == "+" else 1 - truth[q]) for q in mine)
+            right[j] = min(BEST, max(WORST, (RIGHT_AT_FIRST * GUESS + good) / (GUESS + sum(votes[q] for q in mine))))
+    return truth, right
 
 
 def learn(found: DataFrame, spans: str) -> dict[str, float]:
@@ -301,8 +287,9 @@ def classifier(rows: list[tuple[int, str, str, float]]) -> dict[str, float]:
 
 
 def features(k: int, votes: str, shape: str) -> list[str]:
-    """Names of a candidate's features: its kind, its shape among those of its kind, and each labeler's vote."""
-    return [f"k{k}", f"s{k}/{shape}", *(f"{j}{v}" for j, v in enumerate(votes))]
+    """Names of a candidate's features: its kind, its shape among those of its kind, how many labelers speak for it, and
+    each labeler's vote."""
+    return [f"k{k}", f"s{k}/{shape}", f"p{votes.count('+')}", *(f"{j}{v}" for j, v in enumerate(votes))]
 
 
 def accepted(spans: str, weights: dict[str, float]) -> Column:
@@ -313,6 +300,7 @@ def accepted(spans: str, weights: dict[str, float]) -> Column:
     def score(x: Column) -> Column:
         kind = x["k"].cast("string")
         out = F.lit(weights["bias"]) + get(F.concat(F.lit("k"), kind)) + get(F.concat(F.lit("s"), kind, F.lit("/"), x["shape"]))
+        out = out + get(F.concat(F.lit("p"), F.length(F.translate(x["votes"], "0-", "")).cast("string")))
         for j in range(len(LABELERS)):
             out = out + get(F.concat(F.lit(str(j)), F.substring(x["votes"], j + 1, 1)))
         return out
