@@ -17,7 +17,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -174,11 +174,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.repartition(partitions(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(_link, "a long, b long")
 
 
-def grouped(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, fp, content, component): component is a fingerprint of the row's group."""
-    found = cut(fingerprints(docs, text, key))
-    parts = connected_components(links(found.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
-    return found.join(parts, "fp", "left").select("doc_id", "fp", "content", F.coalesce("component", "fp").alias("component"))
+def grouped(found: DataFrame, kept: Column) -> DataFrame:
+    """(fp, component, kept) of each different fingerprint of found; kept is a minimum over its rows, taken by each task
+    before rows are shuffled, so that a group of copies is one row here."""
+    nodes = found.groupBy("fp").agg(kept.alias("kept"))
+    parts = connected_components(links(nodes.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    return nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "kept")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -188,9 +189,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     like any other. Rows with a null doc_id keep their fingerprint and get the least id of their component (null if it
     has none). Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    rows = grouped(docs, text, key)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut(fingerprints(docs, text, key))
+    nodes = grouped(found, F.min("doc_id"))
+    least = nodes.groupBy("component").agg(F.min("kept").alias("component_id"))
+    labels = nodes.join(least, "component").select("fp", "component_id")
+    return found.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -199,7 +202,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     one). Null and wordless texts are a group, and what links to them. An empty table gives no rows.
 
     Rows of equal id and text are reduced to one by each task before they are shuffled, once, for both steps."""
-    first = grouped(docs, text, key).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("r"))
+    found = cut(fingerprints(docs, text, key))
+    first = grouped(found, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))).groupBy("component").agg(F.min("kept").alias("r"))
     none, own, content = keys = fresh(docs.columns, "none", "own", "content")
     # the same hash as fingerprints() takes, of the same bytes, row by row beside the other columns
     at = docs.columns.index(text)
