@@ -39,3 +39,11 @@ def test_flatness_beyond_the_range_of_products():
         s = scale * np.abs(np.random.default_rng(1).standard_normal((1025, 3)))
         p = np.maximum(1e-10, s**2)
         assert np.allclose(dsp.flatness(s), np.exp(np.log(p).mean(0)) / p.mean(0), rtol=1e-12)
+
+
+def test_mel_power_multiplies_only_bins_that_filters_reach():
+    x = noise(60)
+    assert np.allclose(dsp.mel_power(x, RATE), dsp.mel_filters(RATE, 2048, 128) @ dsp.stft_magnitude(x) ** 2, rtol=1e-10)
+    assert peak_mb(lambda: dsp.mel_power(x, RATE)) < 25
+    # more filters than bins: some reach none
+    assert np.allclose(dsp.mel_power(x, RATE, 64, 64, 100), dsp.mel_filters(RATE, 64, 100) @ dsp.stft_magnitude(x, 64, 64) ** 2)
