@@ -47,3 +47,17 @@ def test_mel_power_multiplies_only_bins_that_filters_reach():
     assert peak_mb(lambda: dsp.mel_power(x, RATE)) < 25
     # more filters than bins: some reach none
     assert np.allclose(dsp.mel_power(x, RATE, 64, 64, 100), dsp.mel_filters(RATE, 64, 100) @ dsp.stft_magnitude(x, 64, 64) ** 2)
+
+
+def test_pcen_peak_goes_through_frames_that_lie_together():
+    s = np.random.default_rng(2).random((128, 200)) * 1e6
+    t = RATE / 512
+    b = (np.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
+    m, want = np.ones(128), []
+    for column in s.T:
+        m = b * column + (1 - b) * m
+        want.append((column / (1e-6 + m) ** 0.3 + 2) ** 0.5 - 2**0.5)
+    got = dsp.pcen(s, RATE, 512, 0.3, 2.0, 0.5, 1.0)
+    assert np.allclose(got, np.array(want).T, rtol=1e-9)
+    x, d = noise(60), detectors.get_detector("pcen_peak")
+    assert peak_mb(lambda: d.detect(x, RATE)) < 25
