@@ -61,3 +61,23 @@ def test_pcen_peak_goes_through_frames_that_lie_together():
     assert np.allclose(got, np.array(want).T, rtol=1e-9)
     x, d = noise(60), detectors.get_detector("pcen_peak")
     assert peak_mb(lambda: d.detect(x, RATE)) < 25
+
+
+def test_regions_are_those_of_a_flood_fill():
+    for share in (0.1, 0.3, 0.6, 1.0, 0.0):
+        mask = np.random.default_rng(3).random((23, 57)) < share
+        column, first, last, up = dsp.runs_of(mask)
+        got = {}
+        for c, a, b, k in zip(column, first, last, up, strict=True):
+            got.setdefault(int(k), set()).update((int(r), int(c)) for r in range(a, b))
+        left, want = {(int(r), int(c)) for r, c in np.argwhere(mask)}, set()
+        while left:
+            todo, own = [left.pop()], set()
+            while todo:
+                r, c = todo.pop()
+                own.add((r, c))
+                near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            want.add(frozenset(own))
+        assert {frozenset(g) for g in got.values()} == want
