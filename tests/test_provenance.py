@@ -1,6 +1,7 @@
 """Ties between channels are those of exact sums, whatever the rows' order and the column's type."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import provenance
 
@@ -19,3 +20,9 @@ def confident(spark, request):
 def test_equal_sums_go_to_the_first_seen(confident):
     assert (0.6 + 0.7) + 0.8 < (0.5 + 0.8) + 0.8
     assert [(r.master_file, r.n) for r in provenance.canonical_channel(confident).collect()] == [("a", 3)]
+
+
+def test_offsets_stand_on_the_first_seen_of_equal_sums(confident):
+    raw = confident.withColumns({"status": F.lit("ok"), "master_file": F.lit("a"), "offset_s": F.col("offset_s") + 100})
+    got = provenance.offsets(confident, raw, provenance.canonical_channel(confident)).collect()
+    assert {(r.cut_file, r.canon, r.on_s) for r in got} == {(str(k), "a", k + 100.0) for k in range(len(PEAKS))}
