@@ -26,3 +26,19 @@ def test_offsets_stand_on_the_first_seen_of_equal_sums(confident):
     raw = confident.withColumns({"status": F.lit("ok"), "master_file": F.lit("a"), "offset_s": F.col("offset_s") + 100})
     got = provenance.offsets(confident, raw, provenance.canonical_channel(confident)).collect()
     assert {(r.cut_file, r.canon, r.on_s) for r in got} == {(str(k), "a", k + 100.0) for k in range(len(PEAKS))}
+
+
+def test_votes_are_counted_once_for_offsets(spark, sf):
+    from tidemark.plans import catalog
+
+    plan = catalog.QUERIES["offset_fallback"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1  # raw rows alone: confident cuts are read from what the vote left
+
+
+def test_raw_rows_of_other_cuts_change_no_offsets(confident):
+    raw = confident.withColumns({"status": F.lit("ok"), "master_file": F.lit("a"), "offset_s": F.col("offset_s") + 100})
+    some = confident.where("ord >= 2")
+    later = raw.where("ord = 3").withColumns({"ord": F.lit(9).cast("long"), "offset_s": F.lit(7.0)})  # the last row counts, if it is ok
+    failed = later.withColumns({"ord": F.lit(10).cast("long"), "offset_s": F.lit(8.0), "status": F.lit("no_corr")})
+    got = provenance.offsets(some, raw.union(later).union(failed), provenance.canonical_channel(confident)).collect()
+    assert {(r.cut_file, r.on_s) for r in got} == {("2", 102.0), ("3", 7.0), ("4", 104.0), ("5", 105.0)} and len(got) == 4

@@ -101,8 +101,10 @@ def canonical_channel(confident: DataFrame) -> DataFrame:
 
 
 def offsets(confident: DataFrame, raw: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Confident cuts with on_s: the offset on the tape's canonical channel (the last such ok row), else their own."""
+    """Confident cuts with on_s: the offset on the tape's canonical channel (the last such ok row), else their own.
+
+    Rows of raw that are of no confident cut go before anything is sorted; confident should be cheap to read twice."""
     last = Window.partitionBy("species", "cut_file", "master_file").orderBy(F.desc("ord"))
-    known = raw.where("status = 'ok'").withColumn("_r", F.row_number().over(last)).where("_r = 1").select("species", "cut_file", F.col("master_file").alias("canon"), F.col("offset_s").alias("canon_s"))
+    known = raw.join(confident.select("species", "cut_file"), ["species", "cut_file"], "left_semi").where("status = 'ok'").withColumn("_r", F.row_number().over(last)).where("_r = 1").select("species", "cut_file", F.col("master_file").alias("canon"), F.col("offset_s").alias("canon_s"))
     named = confident.join(canonical.select("species", "tape_id", F.col("master_file").alias("canon")), ["species", "tape_id"])
     return named.join(known, ["species", "cut_file", "canon"], "left").withColumn("on_s", F.coalesce("canon_s", "offset_s"))
