@@ -81,3 +81,41 @@ def test_regions_are_those_of_a_flood_fill():
                 todo += near
             want.add(frozenset(own))
         assert {frozenset(g) for g in got.values()} == want
+
+
+def test_regions_of_a_spectrogram_whose_rows_are_finished_some_at_a_time(monkeypatch):
+    d = detectors.get_detector("maad_roi")
+    x = noise(60)
+    # one image has 513 x 1,874 doubles, 7.7 MB: the density and the image are held, beside the runs of a mask
+    assert peak_mb(lambda: d.detect(x, RATE)) < 25
+
+    def plain(power, std, floor, level):
+        image = np.clip(10 * np.log10(np.maximum(power.T, 1e-30)), -96, None) + 96
+        r = int(4 * std + 0.5)
+        if r:
+            w = np.exp(-0.5 * (np.arange(-r, r + 1) / std) ** 2)
+            for axis in (0, 1):
+                image = np.apply_along_axis(lambda v: np.convolve(np.pad(v, r, mode="edge"), w / w.sum(), "valid"), axis, image)
+        if floor and image.shape[1] > 1:
+            image = np.maximum(image - np.median(image, axis=1, keepdims=True), 0)
+        return image + level * np.abs(np.random.default_rng(0).standard_normal(image.shape))
+
+    monkeypatch.setattr(dsp, "KEPT", 5000)  # draws that are kept end within the image
+    dsp.first_draws.cache_clear()
+    for n in (1024, 1536, 33 * 512, 90 * 512):
+        power, _ = dsp.psd(np.concatenate([np.zeros(n // 4, np.float32), 0.003 * x[: n - n // 4]]), RATE)
+        for how in ((1.0, True, 1.0), (0.0, True, 2.5), (2.5, False, 0.0)):
+            image, mean, deviation = dsp.noise_reduced(power, *how)
+            want = plain(power, *how)
+            assert np.allclose(image, want, rtol=0, atol=1e-9) and np.allclose((mean, deviation), (want.mean(), want.std()), rtol=1e-9, atol=1e-9)
+    dsp.first_draws.cache_clear()
+
+
+def test_regions_need_a_seed_and_an_area():
+    image = np.zeros((6, 9))
+    image[1:3, 1:4], image[2, 3], image[4:6, 5:8] = 0.6, 1.5, 0.9
+    assert dsp.regions(image, 1.0, 0.5, 1) == [(1, 2, 1, 3)]
+    image[4, 4] = 1.5
+    assert sorted(dsp.regions(image, 1.0, 0.5, 1)) == [(1, 2, 1, 3), (4, 5, 4, 7)]
+    assert dsp.regions(image, 1.0, 0.5, 7) == [(4, 5, 4, 7)] and dsp.regions(image, 1.0, 0.5, 1, 6) == [(1, 2, 1, 3)]
+    assert dsp.regions(image, 1.0, 0.5, 1, 5) == [] == dsp.regions(image, np.nan)

@@ -36,3 +36,15 @@ def test_detectors_reach_every_event(spark, sf, events):
             assert any(a < 0.9 + 1.4 * k and b > 0.5 + 1.4 * k for a, b in spans), (file_id, k)
     windows = catalog.QUERIES["score_windows"](spark, sf).collect()
     assert len(windows) == sum(max(1, round(16000 * (0.4 + 1.4 * len(v))) // 32000) for v in events.values())
+
+
+def test_recordings_made_by_stretches_are_those_made_whole():
+    import pyarrow as pa
+
+    for file_id, v in (("7", [0.0, 3.25, 560.21]), ("none", []), ("long", [float(k) for k in range(120)])):
+        batch = pa.RecordBatch.from_arrays([pa.array([file_id]), pa.array([v], pa.list_(pa.float64()))], names=["file_id", "v"])
+        x = 0.003 * np.random.default_rng([len(file_id), *file_id.encode()]).standard_normal(round(16000 * (0.4 + 1.4 * len(v))))
+        for k, value in enumerate(v):
+            a = int(16000 * (0.5 + 1.4 * k))
+            x[a : a + 6400] += 0.4 * np.sin(2 * np.pi * (2000 + 8 * value) * np.arange(6400) / 16000)
+        assert np.array_equal(next(catalog._render([batch])).column(2)[0].values.to_numpy(), x.astype(np.float32))
